@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import license_scan, pii, quality
+from millrace.llm import license_scan, media, mixing, pii, quality
 from millrace.llm.url_filter import judge_urls
 from millrace.tables import table
 
@@ -22,11 +22,34 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(docs).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
+def op4_mix_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.mix(docs, carry=False).select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP4_SQL = """
+WITH d AS (SELECT doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+w AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight, 3.0::DOUBLE * source_size AS cap, row_number() OVER (ORDER BY source NULLS LAST) AS place FROM s),
+o AS (SELECT *, row_number() OVER (ORDER BY cap / weight, place) AS rank,
+      (CAST(sum(source_size) OVER () AS DOUBLE) - coalesce(sum(cap) OVER (ORDER BY cap / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / CAST(sum(weight) OVER (ORDER BY cap / weight, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS level FROM w),
+t AS (SELECT source, source_size, round(least(cap, coalesce((SELECT arg_min(level, rank) FROM o AS f WHERE f.level * f.weight <= f.cap) * weight, cap)), 6) AS target FROM o),
+c AS (SELECT d.*, t.source_size, t.target, CAST(round(t.target) AS BIGINT) AS goal,
+      coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h, d.doc_id NULLS LAST, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begun FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+e AS (SELECT *, CASE WHEN source_size > 0 THEN goal // source_size ELSE 0 END AS epochs FROM c)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(epochs * size + greatest(0, least(size, goal - epochs * source_size - begun)) AS BIGINT) AS taken FROM e
+"""
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return judge_urls(pages).select("page_id", "host", "path", "rule", "verdict", "score")
 
 
+def op8_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.text_to_media(table(spark, sf_dir, "documents"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     df = pii.find_pii(docs).select("doc_id", "spans")
@@ -38,7 +61,9 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_license_scan": op2_license_scan,
+    "op4_mix_curriculum": op4_mix_curriculum,
     "op5_url_filter": op5_url_filter,
+    "op8_tiff_media": op8_tiff_media,
     "op10_pii": op10_pii,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_mix_curriculum": OP4_SQL}

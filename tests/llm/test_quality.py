@@ -32,14 +32,18 @@ def test_base_counts(spark, sf_dir):
         assert got[i] == base(t), (i, (t or "")[:60])
 
 
+def letters(i):
+    return "".join(chr(97 + int(c)) for c in str(i))
+
+
 def prose(i, n=30):
-    return " ".join(f"w{i}x{j}" for j in range(n))
+    return " ".join(letters(i) + "x" + letters(j) for j in range(n))
 
 
 def test_frequent_lines_go_and_depleted_documents_with_them(spark):
     menu = "home about contact imprint privacy terms sitemap search login register help press jobs blog shop news"
     rows = [(i, f"{menu}\n{prose(i)}", "a") for i in range(40)]
-    rows += [(100 + i, f"{menu}\nown{i} line\nq{i} r", "a") for i in range(40)]
+    rows += [(100 + i, f"{menu}\nown {letters(i)}\nq {letters(i)}", "a") for i in range(40)]
     rows += [(200 + i, prose(7) + "\n" + prose(8), "a") for i in range(60)]  # copies: not boilerplate
     rows += [(300, f"{menu}\n{prose(300)}", "b"), (301, f"{menu}\n{prose(301)}", None)]  # another host
     got = {r.doc_id: r for r in measured(spark, rows, max_docs=20)}
