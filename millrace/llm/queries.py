@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import license_scan, media, mixing, pii, quality
+from millrace.llm import license_scan, media, mixing, packing, pii, quality
 from millrace.llm.url_filter import judge_urls
 from millrace.tables import table
 
@@ -46,6 +46,10 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(pages).select("page_id", "host", "path", "rule", "verdict", "score")
 
 
+def op7_pack_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), with_ids=False)
+
+
 def op8_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_to_media(table(spark, sf_dir, "documents"))
 
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_license_scan": op2_license_scan,
     "op4_mix_curriculum": op4_mix_curriculum,
     "op5_url_filter": op5_url_filter,
+    "op7_pack_binary": op7_pack_binary,
     "op8_tiff_media": op8_tiff_media,
     "op10_pii": op10_pii,
 }
