@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import license_scan, media, mixing, packing, pii, quality
+from millrace.llm import license_scan, line_dedup, media, mixing, packing, pii, quality
 from millrace.llm.url_filter import judge_urls
 from millrace.tables import table
 
@@ -22,6 +22,13 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(docs).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = line_dedup.mark(table(spark, sf_dir, "documents"))
+    lost = F.aggregate("gone", F.lit(0).cast("long"), lambda a, c: a + c["size"])
+    kept = (F.size("gone") == 0) | F.col("left").rlike("[^\\x20\\x09-\\x0D]")
+    return df.select("row.doc_id", F.size("gone").cast("long").alias("n_removed_chunks"), lost.alias("n_removed_lines"), F.length("left").cast("long").alias("chars_left"), F.sha2(F.col("left").cast("binary"), 256).alias("left_sha256"), kept.alias("kept"))
+
+
 def op4_mix_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.mix(docs, carry=False).select("doc_id", "size", "source_size", "target", "taken")
@@ -65,6 +72,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_license_scan": op2_license_scan,
+    "op3_line_dedup": op3_line_dedup,
     "op4_mix_curriculum": op4_mix_curriculum,
     "op5_url_filter": op5_url_filter,
     "op7_pack_binary": op7_pack_binary,
