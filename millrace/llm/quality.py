@@ -18,7 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.text import NOT_SPACE, SPACE, let, n_words, words
+from millrace.llm.text import NOT_SPACE, let, words
+from millrace.tables import stored
 
 MIN_LINE_WORDS = 4
 MAX_DOCS = 50
@@ -34,11 +35,6 @@ def lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def word_chars(text: Column) -> Column:
-    t = F.coalesce(text, F.lit(""))
-    return (F.length(t) - F.length(F.regexp_replace(t, f"{NOT_SPACE}++", ""))).cast("long")
-
-
 def n_symbols(text: Column) -> Column:
     return F.length(F.regexp_replace(F.coalesce(text, F.lit("")), "[^#*$%&|<>]++", "")).cast("long")
 
@@ -47,46 +43,61 @@ def n_dup_lines(text: Column) -> Column:
     return let(F.filter(lines(text), lambda x: x.rlike(NOT_SPACE)), lambda a: (F.size(a) - F.size(F.array_distinct(a))).cast("long"))
 
 
-def n_repeat_words(text: Column, size: int = WINDOW) -> Column:
-    """Words in windows of ``size`` words that occur twice or more in the text, first occurrence included."""
+def _repeat_words(w: Column, size: int = WINDOW) -> Column:
+    """w: the words of a text; how many stand in windows of ``size`` words that occur twice or more, first occurrence included.
+
+    Window hashes decide whether anything repeats at all; only then are the windows themselves made and sorted.
+    """
 
-    def of_windows(wins: Column) -> Column:
-        def covered(at: Column) -> Column:
-            """at: sorted starts of repeated windows; what they cover together."""
-            gaps = F.zip_with(at, F.slice(at, 2, F.size(at)), lambda a, b: F.least(F.coalesce(b - a, F.lit(size)), F.lit(size)))
-            return F.aggregate(gaps, F.lit(0), lambda a, x: a + x).cast("long")
+    def covered(at: Column) -> Column:
+        """at: sorted starts of repeated windows; what they cover together."""
+        gaps = F.zip_with(at, F.slice(at, 2, F.size(at)), lambda a, b: F.least(F.coalesce(b - a, F.lit(size)), F.lit(size)))
+        return F.aggregate(gaps, F.lit(0), lambda a, x: a + x).cast("long")
 
-        def starts(s: Column) -> Column:
-            """s: windows with their starts, sorted; a window is repeated if it equals a neighbour."""
-            same = lambda i, j: F.coalesce(F.get(s, i)["w"] == F.get(s, j)["w"], F.lit(False))
-            hit = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: same(i, i + 1) | (F.when(i > 0, same(i, i - 1)).otherwise(False)))
-            return F.array_sort(F.transform(hit, lambda i: F.get(s, i)["i"]))
+    def starts(s: Column) -> Column:
+        """s: windows with their starts, sorted; a window is repeated if it equals a neighbour."""
+        same = lambda i, j: F.coalesce(F.get(s, i)["w"] == F.get(s, j)["w"], F.lit(False))
+        hit = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: same(i, i + 1) | (F.when(i > 0, same(i, i - 1)).otherwise(False)))
+        return F.array_sort(F.transform(hit, lambda i: F.get(s, i)["i"]))
 
-        full = let(F.sort_array(F.transform(wins, lambda w, i: F.struct(w.alias("w"), i.alias("i")))), lambda s: let(starts(s), covered))
-        return F.when(F.size(F.array_distinct(wins)) == F.size(wins), F.lit(0).cast("long")).otherwise(full)
+    windows = F.transform(F.sequence(F.lit(1), F.size(w) - size + 1), lambda i: F.array_join(F.slice(w, i, size), " "))
+    exact = let(F.sort_array(F.transform(windows, lambda x, i: F.struct(x.alias("w"), i.alias("i")))), lambda s: let(starts(s), covered))
+    # a window's hash from those of its halves: words, pairs, fours, eights
+    hashes, step = F.transform(w, lambda x: F.xxhash64(x)), 1
+    while step < size:
+        hashes = let(hashes, lambda a, k=step: F.zip_with(F.slice(a, F.lit(1), F.size(a) - k), F.slice(a, F.lit(k + 1), F.size(a)), lambda x, y: F.xxhash64(x, y)))
+        step *= 2
+    some = let(hashes, lambda h: F.size(F.array_distinct(h)) < F.size(h))
+    return F.when(F.size(w) <= size, F.lit(0).cast("long")).when(some, exact).otherwise(F.lit(0).cast("long"))
 
-    def of_words(w: Column) -> Column:
-        wins = F.transform(F.sequence(F.lit(1), F.size(w) - size + 1), lambda i: F.array_join(F.slice(w, i, size), " "))
-        return F.when(F.size(w) <= size, F.lit(0).cast("long")).otherwise(let(wins, of_windows))
 
-    return let(words(text), of_words)
+def base_counts(text: Column) -> Column:
+    """Struct of n_words, word_chars (code points in words) and n_repeat_words; the words are found once."""
+    return let(words(text), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"), _repeat_words(w).alias("n_repeat_words")))
 
 
-def normalised(line: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(line), rf"^{SPACE}+|{SPACE}+\z", ""), f"{SPACE}+", " "), "[0-9]+", "0")
+def normalised_lines(text: Column) -> Column:
+    """The lines, lower-cased, runs of digits made ``0``, runs of white space one blank, trimmed."""
+    t = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[\x09\x0B-\x0D]|\x20{2,}", " ")
+    return F.transform(F.split(F.regexp_replace(t, "[0-9]+", "0"), "\n", -1), lambda x: F.trim(x))
 
 
 def _line_rows(docs: DataFrame, text: str, host: str, key: Column) -> DataFrame:
-    """key, line number, words, hash within the host, signature of the document around the line."""
-    per_line = F.filter(F.transform(lines(F.col(text)), lambda x, i: F.struct(i.alias("i"), n_words(x).alias("w"), F.xxhash64(normalised(x)).alias("h"))), lambda x: x["w"] > 0)
-    df = docs.select(key.alias("k"), F.coalesce(F.concat(F.lit("h"), F.col(host)), F.lit("")).alias("host"), per_line.alias("ls"))
-    df = df.withColumn("least", F.sort_array(F.array_distinct(F.transform("ls", lambda x: x["h"])))).select("k", "host", F.get("least", F.lit(0)).alias("m1"), F.coalesce(F.get("least", F.lit(1)), F.lit(0)).alias("m2"), F.explode("ls").alias("x"))
-    return df.select("k", F.col("x.i").alias("i"), F.col("x.w").alias("w"), F.xxhash64("host", "x.h").alias("lk"), F.when(F.col("x.h") == F.col("m1"), F.col("m2")).otherwise(F.col("m1")).alias("sig")).where(F.col("w") >= MIN_LINE_WORDS)
+    """key, line number, words, hash within the host, signature of the document around the line; of lines with enough words."""
+    blanks = lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit("")))
+    filled = F.filter(F.transform(normalised_lines(F.col(text)), lambda x, i: F.struct(i.alias("i"), F.when(x == "", 0).otherwise(blanks(x) + 1).cast("long").alias("w"), F.xxhash64(x).alias("h"))), lambda x: x["w"] > 0)
+
+    def signed(ls: Column) -> Column:
+        long = F.filter(ls, lambda x: x["w"] >= MIN_LINE_WORDS)
+        return let(F.sort_array(F.array_distinct(F.transform(ls, lambda x: x["h"]))), lambda m: F.transform(long, lambda x: F.struct(x["i"].alias("i"), x["w"].alias("w"), x["h"].alias("h"), F.when(x["h"] == F.get(m, F.lit(0)), F.coalesce(F.get(m, F.lit(1)), F.lit(0))).otherwise(F.get(m, F.lit(0))).alias("sig"))))
+
+    df = docs.select(key.alias("k"), F.coalesce(F.concat(F.lit("h"), F.col(host)), F.lit("")).alias("host"), F.explode(let(filled, signed)).alias("x"))
+    return df.select("k", F.col("x.i").alias("i"), F.col("x.w").alias("w"), F.xxhash64("host", "x.h").alias("lk"), F.col("x.sig").alias("sig"))
 
 
 def removed_lines(docs: DataFrame, text: str, host: str, key: Column, max_docs: int = MAX_DOCS) -> DataFrame:
     """key and ``gone``: array of (line number, words) of the lines above the limit; documents without any have no row."""
-    rows = _line_rows(docs, text, host, key)
+    rows = stored(_line_rows(docs, text, host, key), "lines")  # read twice; a few dozen bytes a line
     alike = rows.groupBy("lk", "sig").agg(F.count(F.lit(1)).alias("n"))
     often = alike.groupBy("lk").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("all"), F.max("n").alias("most")).where((F.col("docs") > max_docs) & (F.col("most") < COPY_SHARE * F.col("all")))
     # joined on another hash besides: then both sides are exchanged for the join, and a hot line can be split
@@ -100,8 +111,8 @@ def measure(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: s
     t = F.col(text)
     key = F.xxhash64(F.col(doc_id), F.col(host), t)
     base = docs.select(
-        F.col(doc_id).alias("doc_id"), key.alias("k"), n_words(t).alias("n_words"), word_chars(t).alias("word_chars"), n_symbols(t).alias("n_symbols"), n_dup_lines(t).alias("n_dup_lines"), n_repeat_words(t).alias("n_repeat_words"),
-    )
+        F.col(doc_id).alias("doc_id"), key.alias("k"), base_counts(t).alias("c"), n_symbols(t).alias("n_symbols"), n_dup_lines(t).alias("n_dup_lines"),
+    ).select("doc_id", "k", "c.n_words", "c.word_chars", "n_symbols", "n_dup_lines", "c.n_repeat_words")
     base = base.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words")))
     df = base.join(removed_lines(docs, text, host, key, max_docs), "k", "left")
     lost = F.coalesce(F.aggregate("gone", F.lit(0).cast("long"), lambda a, x: a + x["w"]), F.lit(0).cast("long"))

@@ -30,7 +30,6 @@ def words(text: Column) -> Column:
 
 
 def n_words(text: Column) -> Column:
-    """How many words ``words`` finds, without making them one by one."""
-    t = F.coalesce(text, F.lit(""))
-    inner = F.regexp_replace(F.regexp_replace(t, f"^{SPACE}+", ""), rf"{SPACE}+\z", "")
-    return F.when(inner == "", F.lit(0)).otherwise(F.size(F.split(inner, SPACE + "+"))).cast("long")
+    """How many words ``words`` finds."""
+    empty = lambda x: F.when(x == "", 1).otherwise(0)
+    return let(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), lambda a: (F.size(a) - empty(F.get(a, F.lit(0))) - F.when(F.size(a) > 1, empty(F.get(a, F.size(a) - 1))).otherwise(0)).cast("long"))
