@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import license_scan, line_dedup, media, mixing, packing, pii, quality
+from millrace.llm import jaccard_join, license_scan, line_dedup, media, mixing, packing, pii, quality
 from millrace.llm.url_filter import judge_urls
 from millrace.tables import table
 
@@ -53,6 +53,11 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(pages).select("page_id", "host", "path", "rule", "verdict", "score")
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard_join.jaccard_components(docs).select("doc_id", "n_shingles", "component_id")
+
+
 def op7_pack_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), with_ids=False)
 
@@ -75,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_line_dedup": op3_line_dedup,
     "op4_mix_curriculum": op4_mix_curriculum,
     "op5_url_filter": op5_url_filter,
+    "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_pack_binary": op7_pack_binary,
     "op8_tiff_media": op8_tiff_media,
     "op10_pii": op10_pii,
