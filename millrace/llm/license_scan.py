@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 from millrace.llm.text import ascii_lower, let
 
 SEP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]"
 #: phrase -> label: the base
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 #: label, notice, mandatory key phrases
@@ -55,22 +54,21 @@ def _postings() -> dict[str, list[tuple[int, int]]]:
     return dict(index)
 
 
-def _tokens(low: Column) -> Column:
-    """Words of a lowered text."""
-    return F.filter(F.split(low, SEP + "+"), lambda w: w != "")
+def _split(text: Column) -> Column:
+    """A text, lowered, split between its words; the first and last parts may be empty."""
+    return F.split(ascii_lower(F.coalesce(text, F.lit(""))), SEP + "+")
 
 
 def _phrase(phrase: str) -> str:
-    return f"(?<!{WORD})" + f"{SEP}+".join(phrase.split()) + f"(?!{WORD})"
+    """Pattern for a phrase in words joined by blanks."""
+    return f"(?:^| ){phrase}(?: |$)"
 
 
 def corpus_idf(docs: DataFrame, text: str = "text") -> dict[str, float]:
     """IDF of each indexed word over all documents; the result has one number for each indexed word."""
     vocabulary = sorted(_postings())
-    low = ascii_lower(F.coalesce(F.col(text), F.lit("")))
-    any_of = "|".join(vocabulary)
-    held = F.when(low.rlike(f"(?<!{WORD})(?:{any_of})(?!{WORD})"), F.array_distinct(F.filter(_tokens(low), lambda w: w.isin(*vocabulary))))
-    rows = docs.select(F.explode_outer(held).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).collect()  # at most one row for each indexed word
+    held = F.array_intersect(_split(F.col(text)), F.array(*map(F.lit, vocabulary)))
+    rows = docs.select(F.explode(held).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).collect()  # at most one row for each indexed word
     n, df = docs.count(), {r.w: r.n for r in rows}
     return {w: math.log((1 + n) / (1 + df.get(w, 0))) for w in vocabulary}
 
@@ -80,7 +78,6 @@ def scan(docs: DataFrame, text: str = "text", idf: dict[str, float] | None = Non
     idf = idf if idf is not None else corpus_idf(docs, text)
     index = _postings()
     by_rarity = sorted(index, key=lambda w: (-idf.get(w, 0.0), w))  # the rarest first
-    low = ascii_lower(F.coalesce(F.col(text), F.lit("")))
     post_type = "array<struct<t:int,p:int>>"
     table = F.create_map(*[x for w in by_rarity for x in (F.lit(w), F.array(*[F.struct(F.lit(t).alias("t"), F.lit(p).alias("p")) for t, p in index[w]]).cast(post_type))])
     order = F.array(*map(F.lit, by_rarity))
@@ -95,7 +92,7 @@ def scan(docs: DataFrame, text: str = "text", idf: dict[str, float] | None = Non
 
         return F.concat(*map(of, PHRASES))
 
-    def votes(w: Column, text_low: Column) -> Column:
+    def votes(w: Column, joined: Column) -> Column:
         """Matches of the templates: postings of the file's rarest indexed words, intersected by relative position."""
         own = F.filter(F.transform(w, lambda x, i: F.struct(x.alias("w"), i.alias("i"))), lambda x: x["w"].isin(*index))
 
@@ -114,22 +111,24 @@ def scan(docs: DataFrame, text: str = "text", idf: dict[str, float] | None = Non
                 n = F.when((x == a["at"]) & (a["n"] > 0), a["n"] + 1).otherwise(1)
                 return F.struct(x.alias("at"), n.alias("n"), F.when(n > a["best"], x).otherwise(a["best_at"]).alias("best_at"), F.greatest(n, a["best"]).alias("best"))
 
-            verified = _all([text_low.rlike(_phrase(k)) for k in keys])
+            verified = _all([joined.rlike(_phrase(k)) for k in keys])
             enough = lambda b: (b["best"] >= MIN_SHARE * asked) & (b["best"] > 0) & verified
             return let(F.aggregate(starts, zero, step), lambda b: F.struct(F.lit(label).alias("label"), b["best_at"].cast("long").alias("start"), F.when(enough(b), F.least(F.lit(1.0), b["best"] / asked)).otherwise(0.0).alias("share")))
 
         return let(own, of)
 
-    # one pass of a pattern over the text decides whether there is anything to look at
-    rare_words = "|".join(by_rarity)
-    seen = F.col("low").rlike(f"(?<!{WORD})(?:{rare_words}|cc)(?!{WORD})")
     names = docs.columns
-    df = docs.select(F.struct(*names).alias("row"), low.alias("low")).withColumn("sees", seen)
-    n = F.when(F.col("low").rlike(WORD), F.size(F.split(F.regexp_replace(F.regexp_replace("low", rf"\A{SEP}+", ""), rf"{SEP}+\z", ""), SEP + "+"))).otherwise(0).cast("long")
     kinds = "struct<base:array<struct<at:bigint,label:string>>,found:array<struct<label:string,start:bigint,share:double>>>"
-    both = let(_tokens(F.col("low")), lambda w: F.struct(base_starts(w).alias("base"), votes(w, F.col("low")).alias("found")).cast(kinds))
     nothing = F.struct(F.array().alias("base"), F.array().alias("found")).cast(kinds)
-    df = df.select("row", n.alias("n_words"), F.when(F.col("sees"), both).otherwise(nothing).alias("r"))
+    anchors = F.array(*[F.lit(x) for x in sorted({*by_rarity, *(p.split()[0] for p in PHRASES)})])
+
+    def of_parts(parts: Column) -> Column:
+        blank = lambda x: F.when(x == "", 1).otherwise(0)
+        n = F.size(parts) - blank(F.get(parts, F.lit(0))) - F.when(F.size(parts) > 1, blank(F.get(parts, F.size(parts) - 1))).otherwise(0)
+        both = let(F.filter(parts, lambda w: w != ""), lambda w: F.struct(base_starts(w).alias("base"), votes(w, F.array_join(w, " ")).alias("found")).cast(kinds))
+        return F.struct(n.cast("long").alias("n_words"), F.when(F.arrays_overlap(parts, anchors), both).otherwise(nothing).alias("r"))
+
+    df = docs.select(F.struct(*names).alias("row"), let(_split(F.col(text)), of_parts).alias("s")).select("row", "s.n_words", "s.r")
     at = F.transform("r.base", lambda b: b["at"])
     base_labels = F.array_sort(F.array_distinct(F.transform("r.base", lambda b: b["label"])))
     labels = F.array_sort(F.array_distinct(F.concat(F.transform("r.base", lambda b: b["label"]), F.transform("r.found", lambda m: m["label"]))))
