@@ -1,14 +1,45 @@
-"""The corpus pipeline: quality rules, line dedup, n-gram Jaccard join, mixing, packing."""
+"""The corpus pipeline: quality rules, line dedup, n-gram Jaccard join, mixing, packing.
+
+Every stage takes (spark, docs, sf_dir) and works on all the documents that the one before has kept. All but the last return the
+columns of ``documents``; texts that change carry their new ``n_chars``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from millrace.llm import jaccard_join, line_dedup, mixing, packing, quality
 from millrace.tables import stored, table
 
-STAGES: list = []
 
-#: The stages hash lines, chunks and shingles in ways that DuckDB has no functions for; see tests/llm for the brute-force version.
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejected documents go; of the others, lines above the limit."""
+    return quality.clean(docs)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated chunks of lines go, and documents that had nothing else."""
+    return line_dedup.dedup(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays, the one with the smallest id."""
+    return jaccard_join.one_of_each(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them, in the order of their positions; a document cut by its target is shorter."""
+    return mixing.mixed_documents(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row per piece, with its ids."""
+    return packing.pack(docs, with_ids=False)
+
+
+STAGES = [("quality rules", quality_rules), ("line dedup", dedup_lines), ("n-gram Jaccard join", near_duplicates), ("mixing", mix), ("packing", pack)]
+
+#: The stages hash lines, chunks and shingles and encode tokens, for which DuckDB has no functions; tests/llm has the brute-force version.
 ORACLE_SQL = None
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import jaccard_join, license_scan, line_dedup, media, mixing, packing, pii, quality
+from millrace.llm import jaccard_join, license_scan, line_dedup, media, mixing, packing, pii, quality, toxicity
 from millrace.llm.url_filter import judge_urls
 from millrace.tables import table
 
@@ -66,6 +66,10 @@ def op8_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_to_media(table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     df = pii.find_pii(docs).select("doc_id", "spans")
@@ -83,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_pack_binary": op7_pack_binary,
     "op8_tiff_media": op8_tiff_media,
+    "op9_toxicity": op9_toxicity,
     "op10_pii": op10_pii,
 }
 ORACLE_SQL: dict[str, str] = {"op4_mix_curriculum": OP4_SQL}
