@@ -22,6 +22,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.tables import stored
+
 MAX_LEN = 1024
 SPECIAL = "<|endoftext|>"
 PIECE = "start long, length long, ids_crc32 long, doc_tokens long"
@@ -50,10 +52,10 @@ def _full(path: str):
     return Tokenizer.from_file(path)
 
 
-def encode(text: str, ranks_path: str, json_path: str) -> list[int]:
+def encode(text: str, ranks_path: str, json_path: str) -> np.ndarray:
     if SPECIAL in text:
-        return _full(json_path).encode(text, add_special_tokens=False).ids
-    return _fast(ranks_path).encode_ordinary(text)
+        return np.array(_full(json_path).encode(text, add_special_tokens=False).ids, "<u4")
+    return _fast(ranks_path).encode_to_numpy(text, disallowed_special=())
 
 
 def binary_lengths(n: int, most: int = MAX_LEN) -> list[int]:
@@ -75,7 +77,7 @@ def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", with_ids
                 part = batch.slice(at, 256)
                 index, start, length, crc, whole, ids = [], [], [], [], [], []
                 for i, x in enumerate(part.column(1)):
-                    a = np.array([*encode(x.as_py(), ranks_path, json_path), 0], "<u4")
+                    a = np.append(encode(x.as_py(), ranks_path, json_path), np.uint32(0)).astype("<u4", copy=False)
                     s = 0
                     for n in binary_lengths(len(a)):
                         index.append(i)
@@ -99,6 +101,7 @@ def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", with_ids
 
 def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", with_ids: bool = True) -> DataFrame:
     """The pieces bucketed by length, with ``sequence_id`` and ``offset`` (always 0: a piece is a sequence)."""
-    df = pieces(docs, doc_id, text, with_ids)
+    # a range sort reads its input twice, to sample it and to deal it out: written once, texts are encoded once
+    df = stored(pieces(docs, doc_id, text, with_ids), "pieces")
     order = [F.col("length").desc(), F.col("doc_id").asc_nulls_last(), F.col("start"), F.col("ids_crc32")]
     return df.orderBy(*order).withColumns({"sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
