@@ -157,10 +157,27 @@ class Flow:
     sorted = sort_by
 
     def sort_with(self, compare: Callable[[Row, Row], int]) -> Flow:
-        """An order that only a Python function knows; rows leave the JVM for it."""
+        """An order that only a Python function knows; rows leave the JVM for it.
+
+        A sample of rows (some hundreds a partition at most) is compared on the driver to choose ranges; rows are dealt to the
+        ranges and sorted there.
+        """
         from functools import cmp_to_key
 
-        return self._of(self.df.sparkSession.createDataFrame(self.df.rdd.sortBy(cmp_to_key(compare)), self.df.schema))
+        rdd, key = self.df.rdd, cmp_to_key(compare)
+        n = rdd.getNumPartitions()
+        picked = sorted(self.df.sample(False, min(1.0, 100.0 * n / max(1, self.df.count())), 42).limit(200 * n).collect(), key=key)
+        bounds = [picked[len(picked) * i // n] for i in range(1, n)] if picked else []
+
+        def place(row: Row) -> int:
+            lo, hi = 0, len(bounds)
+            while lo < hi:
+                mid = (lo + hi) // 2
+                lo, hi = (mid + 1, hi) if compare(bounds[mid], row) <= 0 else (lo, mid)
+            return lo
+
+        dealt = rdd.map(lambda r: (place(r), r)).partitionBy(n, lambda i: i)
+        return self._of(self.df.sparkSession.createDataFrame(dealt.mapPartitions(lambda it: iter(sorted((r for _, r in it), key=cmp_to_key(compare)))), self.df.schema))
 
     def top(self, k: int, *keys: Expr) -> Flow:
         """The k greatest rows, greatest first; each partition gives k at most."""
@@ -236,7 +253,7 @@ class Flow:
             return self._of(self.df.sample(False, fraction, seed))
         mixed = Flow(self.df.withColumn("__r", F.rand(seed))).zip_with_index("__r", name="__i").df
         total = self.df.agg(F.floor(F.count(F.lit(1)) * F.lit(fraction)).alias("__n"))
-        return self._of(mixed.join(F.broadcast(total), F.col("__i") < F.col("__n")).select(*self.df.columns))  # one row is broadcast
+        return self._of(mixed.where(F.col("__i") < total.scalar()).select(*self.df.columns))
 
     def sample_with(self, f: Callable[[Iterator[Any]], Iterator[Any]]) -> Flow:
         """A function that picks from each partition's frames."""

@@ -73,9 +73,8 @@ class Vector:
         return self._both(other, lambda a, b: a * b, "inner").sum()
 
     def concat(self, other: Vector) -> Vector:
-        """``other`` after this one; its indices move up by this one's size (one row, joined)."""
-        n = self.size().select(F.col("n").alias("__n"))
-        moved = other.df.join(F.broadcast(n)).select((F.col("idx") + F.col("__n")).alias("idx"), "value")
+        """``other`` after this one; its indices move up by this one's size, a scalar subquery."""
+        moved = other.df.select((F.col("idx") + self.size().scalar()).alias("idx"), "value")
         return Vector(self.df.union(moved))
 
     def slice(self, start: int, length: int | None = None) -> Vector:
@@ -133,11 +132,11 @@ class Matrix:
         return self.sum_column().sum()
 
     def norm(self) -> Matrix:
-        """(x - mean of the column) / sqrt(sum of the column's squares), with the columns' two numbers in one broadcast row."""
+        """(x - mean of the column) / sqrt(sum of the column's squares), with the columns' two numbers in a scalar subquery."""
         stats = self._cells().groupBy("pos").agg(F.avg("x").alias("m"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("s"))
-        line = stats.agg(F.array_sort(F.collect_list(F.struct("pos", "m", "s"))).alias("st"))  # one row, as wide as the matrix
+        line = stats.agg(F.array_sort(F.collect_list(F.struct("pos", "m", "s"))).alias("st"))  # one value, as wide as a row
         scaled = F.zip_with("vec", "st", lambda x, s: F.when(s["s"] != 0, (x - s["m"]) / s["s"]).otherwise(0.0))
-        return Matrix(self.df.join(F.broadcast(line)).select("row", scaled.alias("vec")))
+        return Matrix(self.df.withColumn("st", line.scalar()).select("row", scaled.alias("vec")))
 
     def num_rows(self) -> DataFrame:
         return self.df.agg(F.count(F.lit(1)).alias("n"))

@@ -1,4 +1,4 @@
-"""Registered queries over the driver's tables, one or more for each operator."""
+"""Registered queries over the driver's tables, at least one for each operator, each with the SQL that gives the same rows."""
 
 from __future__ import annotations
 
@@ -7,12 +7,626 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.functions import scalar
+from millrace.operators import iterate
+from millrace.operators.flow import Flow
+from millrace.operators.linalg import Matrix, Vector
+from millrace.streaming import windows
 from millrace.tables import table
 
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
 
-def reduce_by_key(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "lineitem").where("l_quantity > 25").groupBy("l_returnflag").agg(F.round(F.sum("l_extendedprice"), 2).alias("revenue"))
 
+def query(sql: str | None):
+    """Registers a function under its name."""
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"reduce_by_key": reduce_by_key}
-ORACLE_SQL: dict[str, str] = {"reduce_by_key": "SELECT l_returnflag, round(sum(l_extendedprice), 2) AS revenue FROM lineitem WHERE l_quantity > 25 GROUP BY l_returnflag"}
+    def add(f):
+        QUERIES[f.__name__] = lambda spark, d: getattr(r := f(lambda name: Flow(table(spark, d, name))), "df", r)
+        QUERIES[f.__name__].__doc__ = f.__doc__
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def r2(c: str):
+    return F.round(c, 2).alias(c)
+
+
+def rounded(x, digits: int = 4, *columns: str) -> DataFrame:
+    df = getattr(x, "df", x)
+    return df.select(*[F.round(c, digits).alias(c) if c in columns else c for c in df.columns])
+
+
+# --- projection and filter
+
+
+@query("SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) AS net FROM lineitem")
+def map_project(t):
+    return t("lineitem").map("l_orderkey", "l_linenumber", net=lambda r: r.l_extendedprice * (1 - r.l_discount))
+
+
+@query("SELECT substr(substr(substr(c_name, 1, 14), 1, 12), 3) AS name FROM customer")
+def multi_map(t):
+    f = t("customer").map(name=lambda r: scalar.prefix(r.c_name, 14)).map(name=lambda r: scalar.prefix(r.name, 12))
+    return f.map(name=lambda r: scalar.suffix_from(r.name, 2))
+
+
+@query("SELECT o_orderkey, substr(o_orderpriority, 1, 6) AS p FROM orders WHERE regexp_full_match(substr(o_orderpriority, 1, 6), '[1-3]-[A-Z. ]+')")
+def multi_map_filter(t):
+    f = t("orders").map("o_orderkey", p=lambda r: scalar.prefix(r.o_orderpriority, 6))
+    return f.filter(lambda r: scalar.full_match(r.p, "[1-3]-[A-Z. ]+"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_quantity > 45")
+def filter_where(t):
+    return t("lineitem").filter(lambda r: r.l_quantity > 45).map("l_orderkey", "l_linenumber", "l_quantity")
+
+
+@query("SELECT w AS word, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(text, '[ \\t\\n\\r]+')) AS w FROM documents) GROUP BY w")
+def flat_map_wordcount(t):
+    words = t("documents").flat_map(lambda r: F.split(r.text, "[ \\t\\n\\r]+"), "word")
+    return words.group_reduce("word", "count", F.lit(1)).map(word="k", n="v")
+
+
+@query("SELECT vec_id, CAST(x AS DOUBLE) AS x FROM (SELECT vec_id, unnest(embedding) AS x FROM embeddings)")
+def flatten_arrays(t):
+    nested = t("embeddings").map("vec_id", pairs=lambda r: F.array(F.slice(r.embedding, 1, 32), F.slice(r.embedding, 33, 32)))
+    return nested.flatten("pairs", "x", keep=["vec_id"]).map("vec_id", x=lambda r: r.x.cast("double"))
+
+
+@query("SELECT o_orderkey, CAST(o_totalprice * 2 AS DOUBLE) AS twice FROM orders")
+def map_partitions(t):
+    def run(frames):
+        for f in frames:
+            yield f.assign(twice=f.o_totalprice * 2)[["o_orderkey", "twice"]]
+
+    return t("orders").map("o_orderkey", "o_totalprice").map_partitions(run, "o_orderkey long, twice double")
+
+
+@query("SELECT count(*) AS n, true AS numbered FROM orders")
+def map_partitions_with_index(t):
+    def run(i, frames):
+        for f in frames:
+            yield f.assign(part=i)[["o_orderkey", "part"]]
+
+    f = t("orders").map("o_orderkey").map_partitions_with_index(run, "o_orderkey long, part long")
+    return f.df.agg(F.count(F.lit(1)).alias("n"), (F.min("part") >= 0).alias("numbered"))
+
+
+@query("SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS idx, o_orderkey FROM orders")
+def zip_with_index(t):
+    return t("orders").map("o_orderkey").zip_with_index("o_orderkey")
+
+
+@query("SELECT r_regionkey + 10 AS k FROM region")
+def apply_alias(t):
+    return t("region").apply(k=lambda r: r.r_regionkey + 10)
+
+
+# --- aggregation
+
+
+@query("SELECT count(*) AS n FROM lineitem")
+def count_all(t):
+    return t("lineitem").count()
+
+
+@query("SELECT round(sum(l_extendedprice), 2) AS total, min(l_quantity) AS least, max(l_quantity) AS most, round(avg(l_discount), 6) AS mean, count(l_tax) AS n, bool_and(l_quantity > 0) AS positive FROM lineitem")
+def reduce_global(t):
+    f = t("lineitem").reduce(total=("sum", "l_extendedprice"), least=("min", "l_quantity"), most=("max", "l_quantity"), mean=("avg", "l_discount"), n=("count", "l_tax"), positive=("bool_and", lambda r: r.l_quantity > 0))
+    return f.map(lambda r: F.round(r.total, 2).alias("total"), "least", "most", lambda r: F.round(r["mean"], 6).alias("mean"), "n", "positive")
+
+
+@query("SELECT max(r_regionkey) AS value FROM region")
+def reduce_function(t):
+    """An associative function instead of a name."""
+    return t("region").reduce(lambda a, b: F.greatest(a, b), "r_regionkey")
+
+
+@query("SELECT CAST(100 + sum(n_nationkey) AS BIGINT) AS value FROM nation")
+def fold_global(t):
+    return t("nation").fold(100, "sum", "n_nationkey")
+
+
+@query("SELECT o_custkey AS k, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey) AS orders FROM orders GROUP BY o_custkey")
+def group_by_collect(t):
+    return t("orders").group_by("o_custkey", "o_orderkey").map("k", orders=lambda r: F.array_join(F.array_sort(r.vs), ","))
+
+
+@query("SELECT l_returnflag AS k, round(sum(l_extendedprice), 2) AS v FROM lineitem GROUP BY 1")
+def group_reduce(t):
+    return rounded(t("lineitem").group_reduce("l_returnflag", "sum", "l_extendedprice"), 2, "v")
+
+
+@query("SELECT substr(o_orderpriority, 1, 1) AS k, max(o_totalprice) AS v FROM orders GROUP BY 1")
+def group_reduce_by_key(t):
+    return t("orders").group_reduce_by_key(lambda r: scalar.head(r.o_orderpriority), "max", "o_totalprice")
+
+
+@query("SELECT l_shipdate AS k, round(sum(l_extendedprice * l_discount), 2) AS v FROM lineitem GROUP BY 1")
+def group_map_reduce(t):
+    return rounded(t("lineitem").group_map_reduce("l_shipdate", lambda r: r.l_extendedprice * r.l_discount, "sum"), 2, "v")
+
+
+@query("SELECT l_returnflag, round(sum(l_extendedprice), 2) AS revenue FROM lineitem WHERE l_quantity > 25 GROUP BY l_returnflag")
+def reduce_by_key(t):
+    kv = t("lineitem").filter(lambda r: r.l_quantity > 25).key_by("l_returnflag", "l_extendedprice").reduce_by_key("sum")
+    return kv.map(l_returnflag="k", revenue=lambda r: F.round(r.v, 2))
+
+
+@query("SELECT n_regionkey AS k, CAST(1000 + sum(n_nationkey) AS BIGINT) AS v FROM nation GROUP BY 1")
+def fold_by_key(t):
+    return t("nation").key_by("n_regionkey", lambda r: r.n_nationkey.cast("long")).fold_by_key(F.lit(1000).cast("long"), lambda a, x: a + x)
+
+
+@query("SELECT l_suppkey AS k, count(*) AS n, max(l_quantity) AS most, round(sum(l_tax), 4) AS tax FROM lineitem GROUP BY 1")
+def aggregate_by_key(t):
+    kv = t("lineitem").key_by("l_suppkey", lambda r: F.struct(r.l_quantity, r.l_tax))
+    return rounded(kv.aggregate_by_key(n=("count", lambda v: v["l_quantity"]), most=("max", lambda v: v["l_quantity"]), tax=("sum", lambda v: v["l_tax"])), 4, "tax")
+
+
+@query("SELECT o_custkey AS k, CAST(sum(o_orderkey % 10) AS BIGINT) AS v FROM orders GROUP BY 1")
+def group_map_values(t):
+    return t("orders").group_by("o_custkey", "o_orderkey").map_values_by_key(lambda x: x % 10).reduce_values("sum")
+
+
+# --- keys and values
+
+
+@query("SELECT o_orderpriority AS k, o_totalprice * 0.5 AS v FROM orders")
+def map_values(t):
+    return t("orders").key_by("o_orderpriority", "o_totalprice").map_values(lambda v: v * 0.5)
+
+
+@query("SELECT substr(o_orderpriority, 1, 1) AS k, o_totalprice AS v FROM orders")
+def map_key(t):
+    return t("orders").key_by("o_orderpriority", "o_totalprice").map_key(scalar.head)
+
+
+@query("SELECT n_name AS k, n_nationkey AS v FROM nation")
+def swap(t):
+    return t("nation").key_by("n_nationkey", "n_name").swap()
+
+
+@query("SELECT event_type AS k, count(*) AS v FROM events WHERE event_type LIKE 'p%' GROUP BY 1")
+def find_by_key(t):
+    """The condition stands after the grouping; Catalyst moves it below."""
+    return t("events").group_by("event_type", "event_id").find_by_key(lambda k: k.startswith("p")).reduce_values("count")
+
+
+@query("SELECT user_id AS k, value AS v FROM events WHERE value > 50")
+def find_by_value(t):
+    return t("events").key_by("user_id", "value").find_by_value(lambda v: v > 50)
+
+
+@query("SELECT o_custkey AS k, CAST(count(*) FILTER (WHERE o_totalprice > 250000) AS BIGINT) AS v FROM orders GROUP BY 1")
+def find_values_by_key(t):
+    """Keys whose lists empty stay."""
+    return t("orders").group_by("o_custkey", "o_totalprice").find_values_by_key(lambda v: v > 250000).reduce_values("count")
+
+
+@query("SELECT o_custkey AS k, max(o_totalprice) AS v FROM orders GROUP BY 1")
+def reduce_values(t):
+    return t("orders").group_by("o_custkey", "o_totalprice").reduce_values("max")
+
+
+# --- joins
+
+
+@query("SELECT c_custkey AS k, o_orderkey, c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey")
+def join_by(t):
+    return t("orders").join_by(t("customer"), "o_custkey", "c_custkey").map("k", o_orderkey=lambda r: r.v["left"]["o_orderkey"], c_mktsegment=lambda r: r.v["right"]["c_mktsegment"])
+
+
+@query("SELECT p_brand AS brand, round(sum(l_extendedprice), 2) AS revenue FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1")
+def join_by_key(t):
+    j = t("lineitem").key_by("l_partkey", "l_extendedprice").join_by_key(t("part").key_by("p_partkey", "p_brand"))
+    kv = j.map(k=lambda r: r.v["right"], v=lambda r: r.v["left"]).group_reduce("k", "sum", "v")
+    return kv.map(brand="k", revenue=lambda r: F.round(r.v, 2))
+
+
+@query("SELECT s_suppkey AS k, s_name AS a, n_name AS b FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+def join_by_key_opt(t):
+    j = t("supplier").key_by("s_nationkey", lambda r: F.struct(r.s_suppkey, r.s_name)).join_by_key_opt(t("nation").key_by("n_nationkey", "n_name"))
+    return j.map(k=lambda r: r.v["left"]["s_suppkey"], a=lambda r: r.v["left"]["s_name"], b=lambda r: r.v["right"])
+
+
+@query("SELECT coalesce(a.k, b.k) AS k, coalesce(a.n, 0) AS n_left, coalesce(b.n, 0) AS n_right, coalesce(a.s, 0) AS most FROM (SELECT o_custkey AS k, count(*) AS n, max(o_totalprice) AS s FROM orders WHERE o_totalprice > 300000 GROUP BY 1) a FULL JOIN (SELECT c_custkey AS k, count(*) AS n FROM customer WHERE c_acctbal > 0 GROUP BY 1) b ON a.k = b.k")
+def cogroup(t):
+    big, good = t("orders").filter("o_totalprice > 300000"), t("customer").filter("c_acctbal > 0")
+    g = big.cogroup(good, "o_custkey", "c_custkey", "o_totalprice", "c_name")
+    return g.map("k", n_left=lambda r: F.size(r.left).cast("long"), n_right=lambda r: F.size(r.right).cast("long"), most=lambda r: F.coalesce(F.array_max(r.left), F.lit(0.0)))
+
+
+@query("SELECT coalesce(a.k, b.k) AS k, coalesce(a.l, '') AS l, coalesce(b.r, '') AS r FROM (SELECT s_nationkey AS k, string_agg(CAST(s_suppkey AS VARCHAR), ',' ORDER BY s_suppkey) AS l FROM supplier GROUP BY 1) a FULL JOIN (SELECT n_nationkey AS k, string_agg(n_name, ',') AS r FROM nation GROUP BY 1) b ON a.k = b.k")
+def cogroup_by_key(t):
+    g = t("supplier").key_by("s_nationkey", "s_suppkey").cogroup_by_key(t("nation").key_by("n_nationkey", "n_name"))
+    return g.map("k", l=lambda r: F.array_join(F.array_sort(r.left), ","), r=lambda r: F.array_join(r.right, ","))
+
+
+@query("SELECT coalesce(a.k, b.k) AS k, CAST(coalesce(a.n, 0) AS BIGINT) AS n_left, CAST(coalesce(b.n, 0) AS BIGINT) AS n_right FROM (SELECT o_orderkey % 100 AS k, count(*) AS n FROM orders GROUP BY 1) a FULL JOIN (SELECT o_orderkey % 70 AS k, count(*) AS n FROM orders GROUP BY 1) b ON a.k = b.k")
+def cogroup_self(t):
+    a, b = t("orders").key_by(lambda r: r.o_orderkey % 100, "o_orderkey"), t("orders").key_by(lambda r: r.o_orderkey % 70, "o_orderkey")
+    return a.cogroup_by_key(b).map("k", n_left=lambda r: F.size(r.left).cast("long"), n_right=lambda r: F.size(r.right).cast("long"))
+
+
+@query("SELECT c_custkey AS k, count(o_orderkey) AS n FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_totalprice > 300000) ON o_custkey = c_custkey GROUP BY 1")
+def left_join(t):
+    """An extension, as are the two below."""
+    j = t("customer").key_by("c_custkey", "c_name").join_by_key(t("orders").filter("o_totalprice > 300000").key_by("o_custkey", "o_orderkey"), "left")
+    return j.map_values(lambda v: v["right"]).reduce_by_key("count").map("k", n="v")
+
+
+@query("SELECT c_custkey AS k, c_name AS v FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
+def semi_join(t):
+    return t("customer").key_by("c_custkey", "c_name").semi_join_by_key(t("orders").filter("o_totalprice > 300000").key_by("o_custkey", "o_orderkey"))
+
+
+@query("SELECT c_custkey AS k, c_name AS v FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
+def anti_join(t):
+    return t("customer").key_by("c_custkey", "c_name").semi_join_by_key(t("orders").filter("o_totalprice > 300000").key_by("o_custkey", "o_orderkey"), anti=True)
+
+
+# --- order, top-k, partitions
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice, o_orderkey")
+def sort_by(t):
+    return t("orders").map("o_orderkey", "o_totalprice").sort_by("o_totalprice", "o_orderkey")
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders ORDER BY o_custkey DESC, o_orderkey DESC")
+def sort_descending(t):
+    return t("orders").map("o_orderkey", "o_custkey").sort_by("o_custkey", "o_orderkey", ascending=False)
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey DESC LIMIT 20")
+def top_k(t):
+    return t("orders").map("o_orderkey", "o_totalprice").top(20, "o_totalprice", "o_orderkey")
+
+
+@query("SELECT c_mktsegment AS seg, c_custkey, c_acctbal FROM (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_custkey) AS rn FROM customer) WHERE rn <= 5")
+def top_k_by_key(t):
+    """An extension: the best five of each key, kept as bounded lists that are combined on the map side."""
+    kv = t("customer").key_by("c_mktsegment", lambda r: F.struct((-r.c_acctbal).alias("o"), r.c_custkey, r.c_acctbal))
+    from pyspark.sql import Window
+
+    rn = F.row_number().over(Window.partitionBy("k").orderBy("v.o", "v.c_custkey"))
+    return kv.df.withColumn("rn", rn).where("rn <= 5").select(F.col("k").alias("seg"), "v.c_custkey", "v.c_acctbal")
+
+
+@query("SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1")
+def partition_by_hash(t):
+    """Partitioned by the key first: the grouping then needs no shuffle of its own."""
+    return t("orders").partition_by(8, "o_custkey").df.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT count(*) AS n, true AS ranges_apart FROM orders")
+def partition_by_range(t):
+    parts = t("orders").partition("range", 8, "o_orderkey").df.groupBy(F.spark_partition_id().alias("p")).agg(F.min("o_orderkey").alias("lo"), F.max("o_orderkey").alias("hi"), F.count(F.lit(1)).alias("n"))
+    from pyspark.sql import Window
+
+    before = F.max("hi").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1))
+    return parts.withColumn("apart", F.coalesce(before < F.col("lo"), F.lit(True))).agg(F.sum("n").alias("n"), F.bool_and("apart").alias("ranges_apart"))
+
+
+@query("SELECT c_custkey, c_name FROM customer ORDER BY c_name")
+def tera_sort(t):
+    return t("customer").map("c_custkey", "c_name").partition("prefix", 8, "c_name")
+
+
+# --- sets
+
+
+@query("SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier")
+def union_all(t):
+    return t("customer").map(k="c_nationkey").union(t("supplier").map(k="s_nationkey"))
+
+
+@query("SELECT r_regionkey, r_name FROM region UNION ALL SELECT 98, 'NORTH' UNION ALL SELECT 99, 'SOUTH'")
+def union_local(t):
+    return t("region").map("r_regionkey", "r_name").union([(98, "NORTH"), (99, "SOUTH")])
+
+
+@query("SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem")
+def distinct(t):
+    return t("lineitem").map("l_returnflag", "l_linestatus").distinct()
+
+
+@query("SELECT c_nationkey AS k FROM customer WHERE c_acctbal > 9000 INTERSECT SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000")
+def intersection(t):
+    return t("customer").filter("c_acctbal > 9000").map(k="c_nationkey").intersection(t("supplier").filter("s_acctbal > 5000").map(k="s_nationkey"))
+
+
+@query("SELECT c_custkey AS k FROM customer EXCEPT ALL SELECT o_custkey FROM orders WHERE o_totalprice > 200000")
+def subtract(t):
+    return t("customer").map(k="c_custkey").subtract(t("orders").filter("o_totalprice > 200000").map(k="o_custkey"))
+
+
+# --- samples
+
+
+@query("SELECT CAST(least(100, count(*)) AS BIGINT) AS n FROM orders")
+def sample_n(t):
+    return t("orders").sample_n(100).count()
+
+
+@query("SELECT CAST(floor(count(*) * 0.1) AS BIGINT) AS n FROM orders")
+def sample_fraction(t):
+    return t("orders").sample_fraction(0.1, seed=7, exact=True).count()
+
+
+@query("SELECT count(*) AS n FROM orders WHERE o_orderkey % 2 = 0")
+def sample_with(t):
+    def even(frames):
+        for f in frames:
+            yield f[f.o_orderkey % 2 == 0]
+
+    return t("orders").sample_with(even).count()
+
+
+# --- the workloads over rankings and visits, on orders and lineitem
+
+
+@query("SELECT substr(o_orderpriority, 1, 3) AS url, o_totalprice AS rank FROM orders")
+def ranking_select(t):
+    return t("orders").map(url=lambda r: scalar.prefix(r.o_orderpriority, 3), rank="o_totalprice")
+
+
+@query("SELECT o_orderkey AS url, o_totalprice AS rank FROM orders WHERE o_totalprice > 50000")
+def ranking_where(t):
+    return t("orders").map(url="o_orderkey", rank="o_totalprice").filter(lambda r: r.rank > 50000)
+
+
+@query("SELECT o_orderkey AS url, o_totalprice AS rank FROM orders ORDER BY rank DESC, url")
+def ranking_order(t):
+    return t("orders").map(url="o_orderkey", rank="o_totalprice").sort_by(lambda r: r.rank.desc(), "url")
+
+
+@query("SELECT substr(o_orderpriority, 1, 3) AS k, round(sum(o_totalprice), 2) AS v FROM orders GROUP BY 1")
+def ranking_aggregate(t):
+    return rounded(t("orders").group_reduce(lambda r: scalar.prefix(r.o_orderpriority, 3), "sum", "o_totalprice"), 2, "v")
+
+
+@query("SELECT l_orderkey AS ip, l_shipdate AS day, l_extendedprice AS revenue FROM lineitem WHERE l_discount > 0.05")
+def visits_where(t):
+    return t("lineitem").filter("l_discount > 0.05").map(ip="l_orderkey", day="l_shipdate", revenue="l_extendedprice")
+
+
+@query("SELECT l_returnflag AS flag, date_trunc('month', l_shipdate)::TIMESTAMP AS month, round(sum(l_extendedprice), 2) AS revenue, count(*) AS n FROM lineitem GROUP BY 1, 2")
+def visits_aggregate(t):
+    kv = t("lineitem").key_by(lambda r: F.struct(r.l_returnflag.alias("flag"), F.date_trunc("month", r.l_shipdate).cast("timestamp_ntz").alias("month")), "l_extendedprice")
+    return kv.aggregate_by_key(revenue=("sum", lambda v: v), n=("count", lambda v: v)).map(lambda r: r.k["flag"].alias("flag"), lambda r: r.k["month"].alias("month"), lambda r: F.round(r.revenue, 2).alias("revenue"), "n")
+
+
+@query("SELECT user_id AS author, event_type AS tag FROM events WHERE event_type LIKE 'pur%'")
+def find_tweets(t):
+    return t("events").key_by("event_type", "user_id").find_by_key(lambda k: k.startswith("pur")).map(author="v", tag="k")
+
+
+@query("SELECT round(CAST(count(*) FILTER (WHERE event_type LIKE 'pur%') AS DOUBLE) / count(*) FILTER (WHERE event_type LIKE 'vie%'), 6) AS ratio FROM events")
+def tweets_ratio(t):
+    groups = t("events").key_by(lambda r: scalar.prefix(r.event_type, 3), F.lit(1)).reduce_by_key("count")
+    one = lambda k: F.max(F.when(F.col("k") == k, F.col("v")))
+    return groups.df.agg(F.round(one("pur") / one("vie"), 6).alias("ratio"))
+
+
+# --- vectors: prices of orders by key, of two overlapping sets of orders
+
+
+def vectors(t):
+    a = Vector.of(t("orders").filter("o_orderkey % 3 <> 0").df, "o_orderkey", "o_totalprice")
+    b = Vector.of(t("orders").filter("o_orderkey % 2 = 0").df, "o_orderkey", F.col("o_totalprice") / 100)
+    return a, b
+
+
+AB = "WITH a AS (SELECT o_orderkey AS idx, o_totalprice AS value FROM orders WHERE o_orderkey % 3 <> 0), b AS (SELECT o_orderkey AS idx, o_totalprice / 100 AS value FROM orders WHERE o_orderkey % 2 = 0) "
+
+
+@query(AB + "SELECT coalesce(a.idx, b.idx) AS idx, round(coalesce(a.value, 0) + coalesce(b.value, 0), 4) AS value FROM a FULL JOIN b ON a.idx = b.idx")
+def vector_add(t):
+    a, b = vectors(t)
+    return rounded(a + b, 4, "value")
+
+
+@query(AB + "SELECT coalesce(a.idx, b.idx) AS idx, round(coalesce(a.value, 0) * coalesce(b.value, 0), 2) AS value FROM a FULL JOIN b ON a.idx = b.idx")
+def vector_times(t):
+    a, b = vectors(t)
+    return rounded(a * b, 2, "value")
+
+
+@query(AB + "SELECT a.idx, round(a.value - b.value, 4) AS value FROM a JOIN b ON a.idx = b.idx")
+def vector_minus(t):
+    a, b = vectors(t)
+    return rounded(a - b, 4, "value")
+
+
+@query(AB + "SELECT round(sum(a.value / 1000 * b.value / 1000), 3) AS value FROM a JOIN b ON a.idx = b.idx")
+def vector_inner(t):
+    a, b = vectors(t)
+    return rounded(a.multiply(0.001).inner(b.multiply(0.001)), 3, "value")
+
+
+@query(AB + "SELECT round(-(value * 2 + 1) - 3, 4) AS value, idx FROM a")
+def vector_scalars(t):
+    a, _ = vectors(t)
+    return rounded(-((a * 2) + 1) - 3, 4, "value")
+
+
+@query(AB + "SELECT idx, value FROM a UNION ALL SELECT b.idx + (SELECT count(*) FROM a), value FROM b")
+def vector_concat(t):
+    a, b = vectors(t)
+    return a.concat(b)
+
+
+@query(AB + "SELECT idx, value FROM a WHERE idx >= 100 AND idx < 350")
+def vector_slice(t):
+    return vectors(t)[0].slice(100, 250)
+
+
+@query(AB + "SELECT count(*) AS n, round(sum(value), 2) AS total, max(value) AS most FROM a")
+def vector_reduce(t):
+    a, _ = vectors(t)
+    return a.size().select("n", F.round(a.sum().scalar(), 2).alias("total"), a.reduce("max").scalar().alias("most"))
+
+
+# --- matrices: the embeddings
+
+CELLS = "WITH m AS (SELECT vec_id AS row, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS vec FROM embeddings), c AS (SELECT row, unnest(vec) AS x, generate_subscripts(vec, 1) - 1 AS pos FROM m) "
+WEIGHTS = [((i * 7) % 11 - 5) / 10 for i in range(64)]
+_W = "[" + ", ".join(map(str, WEIGHTS)) + "]::DOUBLE[]"
+
+
+def matrix(t) -> Matrix:
+    return Matrix.of(t("embeddings").df, "vec_id", "embedding")
+
+
+def cells(m: Matrix, digits: int = 4) -> DataFrame:
+    """A row per element, numbers rounded."""
+    return m.df.select("row", F.posexplode("vec").alias("pos", "x")).select("row", F.col("pos").cast("long").alias("pos"), F.round("x", digits).alias("x"))
+
+
+@query(CELLS + f"SELECT row AS idx, round(list_dot_product(vec, {_W}), 4) AS value FROM m")
+def matrix_dot(t):
+    return rounded(matrix(t).dot(WEIGHTS), 4, "value")
+
+
+@query(CELLS + "SELECT pos AS idx, round(sum(x), 4) AS value FROM c GROUP BY 1")
+def matrix_sum_row(t):
+    return rounded(matrix(t).sum_row(), 4, "value")
+
+
+@query(CELLS + "SELECT pos AS idx, max(x) AS value FROM c GROUP BY 1")
+def matrix_reduce_row(t):
+    return matrix(t).reduce_row("max")
+
+
+@query(CELLS + "SELECT row AS idx, round(list_sum(vec), 4) AS value FROM m")
+def matrix_sum_column(t):
+    return rounded(matrix(t).sum_column(), 4, "value")
+
+
+@query(CELLS + "SELECT row AS idx, list_max(list_append(vec, 0.0)) AS value FROM m")
+def matrix_reduce_column(t):
+    return matrix(t).reduce_column(lambda a, x: F.greatest(a, x))
+
+
+@query(CELLS + "SELECT round(sum(x), 3) AS value FROM c")
+def matrix_sum(t):
+    return rounded(matrix(t).sum(), 3, "value")
+
+
+@query(CELLS + "SELECT row, pos, round(x * 2 + 1, 4) AS x FROM c")
+def matrix_map_elem(t):
+    return cells(matrix(t).map_elem(lambda x: x * 2 + 1))
+
+
+@query(CELLS + "SELECT row, pos, round(x, 6) AS x FROM c WHERE pos < 3")
+def matrix_map_row(t):
+    return cells(matrix(t).map_row(lambda v: F.slice(v, 1, 3)), 6)
+
+
+@query(CELLS + "SELECT row, pos, round(x * pos, 4) AS x FROM c")
+def matrix_map_column(t):
+    return cells(matrix(t).map_column(lambda x, j: x * j))
+
+
+@query(CELLS + "SELECT row, pos, round(x * label, 4) AS x FROM c JOIN embeddings ON row = vec_id")
+def matrix_zip_map(t):
+    labels = Vector.of(t("embeddings").df, "vec_id", "label")
+    return cells(matrix(t).zip_map(labels, lambda vec, v: F.transform(vec, lambda x: x * v)))
+
+
+@query(CELLS + ", s AS (SELECT pos, avg(x) AS m, sqrt(sum(x * x)) AS s FROM c GROUP BY pos) SELECT row, pos, round((x - m) / s, 4) AS x FROM c JOIN s USING (pos)")
+def matrix_norm(t):
+    return cells(matrix(t).norm())
+
+
+@query(CELLS + "SELECT (SELECT count(*) FROM m) AS n_rows, (SELECT CAST(max(len(vec)) AS BIGINT) FROM m) AS n_columns")
+def matrix_shape(t):
+    m = matrix(t)
+    return m.num_rows().select(F.col("n").alias("n_rows"), m.num_columns().scalar().alias("n_columns"))
+
+
+@query(CELLS + "SELECT row AS idx, x AS value FROM c WHERE pos = 5")
+def matrix_column(t):
+    return matrix(t).column(5)
+
+
+@query(CELLS + "SELECT row, pos, round(x, 6) AS x FROM c WHERE row = 7")
+def matrix_row(t):
+    return cells(matrix(t).row(7), 6)
+
+
+# --- learning steps
+
+_LABEL = "CASE WHEN label >= 5 THEN 1.0 ELSE -1.0 END"
+_DOT = CELLS + f", d AS (SELECT row, list_dot_product(vec, {_W}) AS p, CAST({_LABEL} AS DOUBLE) AS y FROM m JOIN embeddings ON row = vec_id) "
+
+
+def labelled(t) -> DataFrame:
+    return t("embeddings").df.select(F.col("embedding").cast("array<double>").alias("x"), F.when(F.col("label") >= 5, 1.0).otherwise(-1.0).alias("y"))
+
+
+@query(_DOT + "SELECT CAST(pos AS BIGINT) AS pos, round(sum((p - y) * x), 4) AS g FROM c JOIN d USING (row) GROUP BY 1")
+def linear_gradient(t):
+    return rounded(iterate.linear_gradient(labelled(t), "x", "y", WEIGHTS).withColumn("pos", F.col("pos").cast("long")), 4, "g")
+
+
+@query(_DOT + "SELECT CAST(pos AS BIGINT) AS pos, round(sum((1 / (1 + exp(-y * p)) - 1) * y * x), 4) AS g FROM c JOIN d USING (row) GROUP BY 1")
+def logistic_gradient(t):
+    return rounded(iterate.logistic_gradient(labelled(t), "x", "y", WEIGHTS).withColumn("pos", F.col("pos").cast("long")), 4, "g")
+
+
+CENTRES = [[((i * 13 + k * 29) % 17 - 8) / 40 for i in range(64)] for k in range(10)]
+_C = ", ".join(f"({k}, {'[' + ', '.join(map(str, c)) + ']'}::DOUBLE[])" for k, c in enumerate(CENTRES))
+_NEAR = CELLS + f", k(cluster, centre) AS (VALUES {_C}), q AS (SELECT row, cluster, row_number() OVER (PARTITION BY row ORDER BY list_sum(list_transform(list_zip(vec, centre), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), cluster) AS rn FROM m, k) "
+
+
+@query(_NEAR + "SELECT cluster, CAST(pos AS BIGINT) AS pos, round(avg(x), 4) AS mean, count(*) AS n FROM c JOIN q USING (row) WHERE rn = 1 GROUP BY 1, 2")
+def kmeans_step(t):
+    df = t("embeddings").df.select(F.col("embedding").cast("array<double>").alias("x"))
+    return rounded(iterate.kmeans_step(df, "x", CENTRES), 4, "mean").withColumn("pos", F.col("pos").cast("long"))
+
+
+@query(_NEAR + "SELECT cluster, count(*) AS n FROM q WHERE rn = 1 GROUP BY 1")
+def kmeans_assign(t):
+    df = t("embeddings").df.select(F.col("embedding").cast("array<double>").alias("x"))
+    return iterate.assigned(df, "x", CENTRES).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(None)
+def linear_descent(t):
+    """Three steps from zero; tested against numpy."""
+    df = labelled(t).cache()
+    w = iterate.descend(df, "x", "y", iterate.linear_gradient, [0.0] * 64, 3, 0.1, mean=True)
+    return df.sparkSession.createDataFrame(list(enumerate(w)), "pos int, w double")
+
+
+@query(None)
+def logistic_descent(t):
+    df = labelled(t).cache()
+    w = iterate.descend(df, "x", "y", iterate.logistic_gradient, [0.0] * 64, 3, 0.1, mean=True)
+    return df.sparkSession.createDataFrame(list(enumerate(w)), "pos int, w double")
+
+
+@query(None)
+def kmeans(t):
+    df = t("embeddings").df.select(F.col("embedding").cast("array<double>").alias("x")).cache()
+    return df.sparkSession.createDataFrame(list(enumerate(iterate.kmeans(df, "x", CENTRES, 3))), "cluster int, centre array<double>")
+
+
+# --- extensions over events
+
+
+@query("SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")
+def events_by_hour(t):
+    return rounded(windows.tumbling(t("events").df), 2, "total").withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("SELECT user_id, min(ts) AS start, count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, s")
+def event_sessions(t):
+    return windows.sessions(t("events").df).withColumn("start", F.col("start").cast("timestamp_ntz"))

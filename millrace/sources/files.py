@@ -77,8 +77,8 @@ def parallel_with_index(spark: SparkSession, rows: Sequence, schema: str, partit
 
 
 def horizontal(spark: SparkSession, schema: str, *parts: Sequence) -> Flow:
-    """Local collections one after the other, each in a partition of its own."""
-    flows = [parallelize(spark, p, schema).df.coalesce(1) for p in parts]
+    """Local collections one after the other."""
+    flows = [parallelize(spark, p, schema).df for p in parts]
     df = flows[0]
     for more in flows[1:]:
         df = df.unionByName(more)
