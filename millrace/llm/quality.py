@@ -78,14 +78,15 @@ def base_counts(text: Column) -> Column:
 
 def normalised_lines(text: Column) -> Column:
     """The lines, lower-cased, runs of digits made ``0``, runs of white space one blank, trimmed."""
-    t = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[\x09\x0B-\x0D]|\x20{2,}", " ")
+    t = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[\x09\x0B-\x0D][\x20\x09\x0B-\x0D]*|\x20[\x20\x09\x0B-\x0D]+", " ")
     return F.transform(F.split(F.regexp_replace(t, "[0-9]+", "0"), "\n", -1), lambda x: F.trim(x))
 
 
 def _line_rows(docs: DataFrame, text: str, host: str, key: Column) -> DataFrame:
     """key, line number, words, hash within the host, signature of the document around the line; of lines with enough words."""
+    hashed = lambda x: F.conv(F.substring(F.md5(x), 1, 15), 16, 10).cast("long")  # noqa: E731  60 bits
     blanks = lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit("")))
-    filled = F.filter(F.transform(normalised_lines(F.col(text)), lambda x, i: F.struct(i.alias("i"), F.when(x == "", 0).otherwise(blanks(x) + 1).cast("long").alias("w"), F.xxhash64(x).alias("h"))), lambda x: x["w"] > 0)
+    filled = F.filter(F.transform(normalised_lines(F.col(text)), lambda x, i: F.struct(i.alias("i"), F.when(x == "", 0).otherwise(blanks(x) + 1).cast("long").alias("w"), hashed(x).alias("h"))), lambda x: x["w"] > 0)
 
     def signed(ls: Column) -> Column:
         long = F.filter(ls, lambda x: x["w"] >= MIN_LINE_WORDS)

@@ -1,7 +1,9 @@
 import collections
 import re
 
+import __spark_entry__
 from millrace.llm import quality, queries
+from tests.oracle import compare
 
 W = r"[^\x20\x09-\x0D]+"
 
@@ -63,6 +65,10 @@ def test_odd_tables(spark):
     assert quality.clean(spark.createDataFrame([(1, prose(1), None, 5), (1, prose(1), None, 5)], "doc_id long, text string, source string, k int")).columns == ["doc_id", "text", "source", "k"]
 
 
+def test_query_matches_sql(spark, sf_dir):
+    assert compare(spark, __spark_entry__, "op1_quality_rules", sf_dir) > 0
+
+
 def test_query(spark, sf_dir):
     out = queries.op1_quality_rules(spark, sf_dir).collect()
     assert len(out) == spark.read.parquet(f"{sf_dir}/documents.parquet").count() and sum(r.kept for r in out) > 0.8 * len(out)
