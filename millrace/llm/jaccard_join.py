@@ -3,18 +3,20 @@
 A document's set is its distinct 4-word shingles (64-bit hashes). Two sets A and B link when |A and B| / |A or B| >= 0.85.
 
 1. Equal sets become one class (``sid``, a 64-bit hash of the sorted set).
-2. A fixed-size sketch of shingle counts over all documents (``CELLS`` counters) tells common shingles from rare ones. In each set
-   the rare come first, then the common, either by hash. Linked sets share one of their first n - ceil(0.85 n) + 1 shingles, so
-   classes meet under these as keys; the order only decides how many meet, never what is found. Keys with the same members are
-   taken once (members are compared by count and two 64-bit sums).
-3. The members of a key form a signature tree: sorted by size, leaves of ``LEAF`` sets, ``FANOUT`` nodes to a parent, each node with
+2. Linked sets share one of their first n - ceil(0.85 n) + 1 shingles, in any order that is the same for all sets; classes meet under
+   these as keys. Counted over all documents, the first shingles by hash show which are common (passages that many documents share);
+   a fixed number of bits marks them, and in the order that is used then they come last. The order only decides how many meet,
+   never what is found. Keys with the same members are
+   taken once (members are compared by count and two 64-bit sums), a key is parted by bands of size, and keys with a smallest
+   member in common are put together in a cell.
+3. The members of a cell form a signature tree: sorted by size, leaves of ``LEAF`` sets, ``FANOUT`` nodes to a parent, each node with
    the OR of its sets' bitmaps, their range of sizes and their most bits lost by collision. A dual traversal prunes node pairs by
    the largest overlap they could have; pairs of sets that remain are compared exactly unless links found before connect them,
-   so a key gives at most one link less than it has members. A key with more than ``BLOCK`` members is dealt in blocks
+   so a cell gives at most one link less than it has members. A cell with more than ``BLOCK`` members is dealt in blocks
    to several tasks, every pair of blocks to one of them.
 4. Components of the links by alternating large-star and small-star steps on distributed tables, each written to the shared folder.
 
-Nothing that grows with the corpus is broadcast or collected: only the sketch's ``CELLS`` bits reach the driver.
+Nothing that grows with the corpus is broadcast or collected: only the ``CELLS`` bits of common shingles reach the driver.
 
 Defined results: null texts and texts without words have no shingles and no links; a null id takes part, but names a component only
 where no other id can; repeated rows are equal sets; an empty table gives an empty result; other columns are ignored.
@@ -32,26 +34,17 @@ from millrace.tables import stored
 
 SHINGLE = 4
 PERCENT = 85
-CELLS = 1 << 20
+#: a first shingle of more documents than this is common
+COMMON = 8
+CELLS = 1 << 24
 _CHUNK = 1 << 14
 LEAF = 32
 FANOUT = 8
 BLOCK = 1500
-_MASK = (1 << 64) - 1
 
-
-class _WordHashes(dict):
-    """64-bit hashes of words, kept for a while."""
-
-    MOST = 400_000
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) >= self.MOST:
-            self.clear()
-        v = self[word] = xxhash.xxh64_intdigest(word)
-        return v
+#: bytes hashed at a time
+_PIECE = 1 << 20
+_ODD = 0x9E3779B97F4A7C15
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -60,76 +53,136 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def shingles(text: str | None, cache: dict, size: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct shingle hashes of a text, A-Z lower-cased; with fewer words, the whole sequence as one."""
-    words = (text or "").encode().lower().split()
-    n = len(words)
+# Values of the bytes, A-Z as a-z, for a polynomial in an odd base modulo 2^64, and the bytes that part words.
+_VALUE = _mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(_ODD))
+_VALUE[65:91] = _VALUE[97:123]
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+
+
+class _Powers:
+    """Powers of the base and of its inverse, as many as were asked for so far."""
+
+    base = 0xD1342543DE82EF95
+    up = down = np.ones(1, np.uint64)
+
+    @classmethod
+    def of(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(cls.up) < n:
+            size = 1 << (n - 1).bit_length()
+            for name, b in (("up", cls.base), ("down", pow(cls.base, -1, 1 << 64))):
+                steps = np.full(size, b, np.uint64)
+                steps[0] = 1
+                setattr(cls, name, np.cumprod(steps))
+        return cls.up[:n], cls.down[:n]
+
+
+def word_hashes(b: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """b: bytes of texts that begin at ``starts``; hashes of their words and where each begins."""
+    n = len(b)
+    blank = _BLANK[b]
+    before, after = np.empty(n, bool), np.empty(n, bool)
+    before[1:], after[:-1] = blank[:-1], blank[1:]
+    before[0] = after[-1] = True
+    inner = starts[(starts > 0) & (starts < n)]
+    before[inner] = after[inner - 1] = True
+    first, last = np.flatnonzero(~blank & before), np.flatnonzero(~blank & after)
+    up, down = _Powers.of(n)
+    v = _VALUE[b] * up
+    c = np.cumsum(v)
+    return _mixed((c[last] - c[first] + v[first]) * down[first] + (last - first + 1).astype(np.uint64) * np.uint64(_ODD)), first
+
+
+def _long_text(b: np.ndarray) -> np.ndarray:
+    """Hashes of the words of one long text, cut between words."""
+    out, at = [], 0
+    while at < len(b):
+        end = min(len(b), at + _PIECE)
+        while end < len(b) and not _BLANK[b[end]]:
+            end += 1
+        out.append(word_hashes(b[at:end], np.zeros(1, np.int64))[0])
+        at = end
+    return np.concatenate(out) if out else np.empty(0, np.uint64)
+
+
+def words_of(column) -> Iterator[np.ndarray]:
+    """Hashes of the words of each text of an Arrow column; null texts have none."""
+    import pyarrow as pa
+
+    column = column.cast(pa.large_binary())
+    ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] is not None else np.empty(0, np.uint8)
+    if column.null_count:  # a null may have bytes
+        keep = column.is_valid().to_numpy(zero_copy_only=False)
+    i = 0
+    while i < len(column):
+        j = i + 1
+        while j < len(column) and ends[j + 1] - ends[i] <= _PIECE:
+            j += 1
+        b = data[ends[i] : ends[j]]
+        if j == i + 1 and len(b) > _PIECE:
+            found = [_long_text(b)]
+        elif not len(b):
+            found = [np.empty(0, np.uint64)] * (j - i)
+        else:
+            h, first = word_hashes(b, ends[i:j] - ends[i])
+            found = np.split(h, np.searchsorted(first, ends[i + 1 : j] - ends[i]))
+        for k, h in enumerate(found, i):
+            yield h if not column.null_count or keep[k] else h[:0]
+        i = j
+
+
+def shingles(w: np.ndarray, size: int = SHINGLE) -> np.ndarray:
+    """Hashes of the shingles of a text's words, repeats included; with fewer words, the whole sequence as one."""
+    n = len(w)
     if not n:
-        return np.empty(0, np.uint64)
-    w = np.fromiter(map(cache.__getitem__, words), np.uint64, n)
+        return w
     k = min(size, n)
     h = np.full(n - k + 1, k, np.uint64)
     for i in range(k):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + w[i : n - k + 1 + i]
-    return np.unique(_mixed(h))
+        h *= np.uint64(_ODD)
+        h += w[i : n - k + 1 + i]
+    return _mixed(h)
 
 
-# --- the sketch
+def shingle_sets(column) -> Iterator[np.ndarray]:
+    """Sorted distinct shingle hashes of each text."""
+    for w in words_of(column):
+        h = shingles(w)
+        h.sort()
+        yield h[np.concatenate([[True], h[1:] != h[:-1]])] if len(h) else h
 
 
-def _counted(batches):
-    import pyarrow as pa
+# --- common shingles
 
-    counts, held, n, cache = np.zeros(CELLS, np.uint64), [], 0, _WordHashes()
-    for batch in batches:
-        for x in batch.column(0):
-            s = shingles(x.as_py(), cache)
-            held.append((s >> np.uint64(44)).astype(np.int64))
-            n += len(s)
-            if n >= 2_000_000:
-                counts += np.bincount(np.concatenate(held), minlength=CELLS).astype(np.uint64)
-                held, n = [], 0
-    if n:
-        counts += np.bincount(np.concatenate(held), minlength=CELLS).astype(np.uint64)
-    if counts.any():
-        yield from _sketch_rows({c: counts[c * _CHUNK : (c + 1) * _CHUNK] for c in range(CELLS // _CHUNK)}, pa)
-
-
-def _sketch_rows(by_chunk, pa):
-    """counts as the smallest unsigned type that holds them, to keep rows small"""
-    for c, v in by_chunk.items():
-        form = next(t for t in ("<u1", "<u2", "<u4", "<u8") if v.max() <= np.iinfo(t).max)
-        yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([int(form[2])], pa.int32()), pa.array([v.astype(form).tobytes()], pa.binary())], names=["chunk", "width", "counts"])
-
-
-def _summed(batches):
-    import pyarrow as pa
-
-    total = {}
-    for batch in batches:
-        for c, width, b in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            v = np.frombuffer(b, f"<u{width}").astype(np.uint64)
-            total[c] = total[c] + v if c in total else v
-    yield from _sketch_rows(total, pa)
 
+def common_bits(docs: DataFrame, doc_id: str, text: str) -> bytes:
+    """A bit for each of ``CELLS`` (the low bits of a hash): whether a common shingle falls there.
 
-def common_cells(docs: DataFrame, text: str = "text") -> bytes:
-    """A bit for each of ``CELLS``: whether its shingles are common. Counts are summed in two steps, by (chunk, part) and by chunk."""
-    form = "chunk int, width int, counts binary"
-    parts = docs.select(text).mapInArrow(_counted, form).withColumn("part", F.spark_partition_id() % 16)
-    parts = parts.repartition("chunk", "part").select("chunk", "width", "counts").mapInArrow(_summed, form)
-    rows = parts.repartition("chunk").mapInArrow(_summed, form)
+    Common are the first shingles of sets, by hash alone, that more than ``COMMON`` documents have among theirs; the limit is doubled
+    until no more than a quarter of the bits can be set.
+    """
+    first = described(docs, doc_id, text, None).select(F.explode("keys").alias("key"))
+    often = stored(first.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > COMMON), "common")
+    steps = {r.step: r.n for r in often.groupBy(F.floor(F.log2(F.col("m"))).alias("step")).agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each power of two
+    limit = COMMON
+    while sum(n for k, n in steps.items() if 2 ** (k + 1) > limit) > CELLS // 4:
+        limit *= 2
+    cell = F.col("key").bitwiseAND(F.lit(CELLS - 1))
+    chunks = often.where(F.col("m") > limit).groupBy(F.floor(cell / _CHUNK).cast("int").alias("chunk")).agg(F.collect_set((cell % _CHUNK).cast("int")).alias("at"))
 
-    def common(batches):
+    def bits(batches):
         import pyarrow as pa
 
         for batch in batches:
-            rows = [np.frombuffer(b, f"<u{w}").astype(np.float64) for w, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            # chunks of a hash are alike, so each knows the mean load well enough; its median is not moved by common shingles
-            bits = [np.packbits(v > (m := np.median(v)) + 8 * np.sqrt(m) + 24).tobytes() for v in rows]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.binary())], names=["chunk", "bits"])
-
-    found = {r.chunk: bytes(r.bits) for r in rows.mapInArrow(common, "chunk int, bits binary").collect()}  # CELLS bits in all
+            out = []
+            for at in batch.column(1).to_pylist():
+                b = np.zeros(_CHUNK, bool)
+                b[at] = True
+                out.append(np.packbits(b).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["chunk", "bits"])
+
+    found = {r.chunk: bytes(r.bits) for r in chunks.mapInArrow(bits, "chunk int, bits binary").collect()}  # CELLS bits in all
     return b"".join(found.get(c, bytes(_CHUNK // 8)) for c in range(CELLS // _CHUNK))
 
 
@@ -149,24 +202,25 @@ def set_id(s: np.ndarray) -> int | None:
     return v - (1 << 64) if v >> 63 else v
 
 
-def described(docs: DataFrame, doc_id: str, text: str, cells: bytes, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n (size of the set), sid (null for an empty one), keys (its first shingles)."""
+def described(docs: DataFrame, doc_id: str, text: str, cells: bytes | None, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n (size of the set), sid (null for an empty one), keys (its first shingles, the common ones last)."""
     df = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t"))
 
     def run(batches):
         import pyarrow as pa
 
-        common, cache = np.unpackbits(np.frombuffer(cells, np.uint8)).astype(bool), _WordHashes()
+        common = None if cells is None else np.unpackbits(np.frombuffer(cells, np.uint8)).astype(bool)
         for batch in batches:
             ns, sids, keys, ends = [], [], [], [0]
-            for x in batch.column(1):
-                s = shingles(x.as_py(), cache)
+            for s in shingle_sets(batch.column(1)):
                 n = len(s)
-                hot = common[(s >> np.uint64(44)).astype(np.int64)]
                 first = n - -(-percent * n // 100) + 1 if n else 0
-                rare = s[~hot]
-                if len(rare) < first:
-                    rare = np.concatenate([rare, s[hot][: first - len(rare)]])
+                rare = s
+                if common is not None and n:
+                    hot = common[(s & np.uint64(CELLS - 1)).astype(np.int64)]
+                    rare = s[~hot]
+                    if len(rare) < first:
+                        rare = np.concatenate([rare, s[hot][: first - len(rare)]])
                 keys.append(_as_long(np.ascontiguousarray(rare[:first])))
                 ends.append(ends[-1] + len(keys[-1]))
                 ns.append(n)
@@ -177,22 +231,6 @@ def described(docs: DataFrame, doc_id: str, text: str, cells: bytes, percent: in
     return df.mapInArrow(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, n long, sid long, keys array<long>")
 
 
-def sets_of(docs: DataFrame, text: str = "t") -> DataFrame:
-    """want, sid, set (its sorted hashes, 8 bytes each) of documents with ``want`` (the sid expected) and a text."""
-
-    def run(batches):
-        import pyarrow as pa
-
-        cache = _WordHashes()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
-                found = [shingles(x.as_py(), cache) for x in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([set_id(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], names=["want", "sid", "set"])
-
-    return docs.select("want", text).mapInArrow(run, "want long, sid long, set binary")
-
-
 # --- signature trees
 
 
@@ -288,7 +326,7 @@ def links(sids: list[int], sets: list[np.ndarray], side: list[int] | None = None
 
 
 def _cell_links(batches):
-    """Rows (key, i, j, side, sid, set), sorted by key, i and j -> links of each cell."""
+    """Rows (cell, i, j, side, sid, text), sorted by cell, i and j -> links of each (cell, i, j)."""
     import pyarrow as pa
 
     now, sids, sets, side = None, [], [], []
@@ -298,35 +336,42 @@ def _cell_links(batches):
         return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     for batch in batches:
-        key, i, j, sd, sid = (batch.column(k).to_pylist() for k in range(5))
-        for r in range(batch.num_rows):
-            if (at := (key[r], i[r], j[r])) != now:
-                if now is not None and len(sids) > 1:
+        cell, i, j, sd, sid = (batch.column(k).to_pylist() for k in range(5))
+        for r, s in enumerate(shingle_sets(batch.column(5))):
+            if (at := (cell[r], i[r], j[r])) != now:
+                if len(sids) > 1:
                     yield done()
                 now, sids, sets, side = at, [], [], []
-            sids.append(sid[r])
-            sets.append(np.frombuffer(batch.column(5)[r].as_buffer(), np.uint64).copy())
-            side.append(sd[r])
-    if now is not None and len(sids) > 1:
+            if set_id(s) == sid[r] and sid[r] not in sids[-1:]:  # another text under the same id; a repeated row
+                sids.append(sid[r])
+                sets.append(s)
+                side.append(sd[r])
+    if len(sids) > 1:
         yield done()
 
 
 def set_links(docs: DataFrame, desc: DataFrame, doc_id: str, text: str) -> DataFrame:
     """a, b: links between classes that connect all that are linked. desc: ``described``, as a table."""
-    classes = desc.where("sid IS NOT NULL").groupBy("sid").agg(F.first("keys").alias("keys"), F.min("doc_id").alias("rep"))
+    classes = desc.where("sid IS NOT NULL").groupBy("sid").agg(F.first("keys").alias("keys"), F.first("n").alias("n"), F.min("doc_id").alias("rep"))
     classes = stored(classes, "classes")
     pairs = classes.select(F.explode("keys").alias("key"), "sid").repartition("key")  # dealt once, used by both the counts and the join
     met = pairs.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("sid")).alias("x"), F.bit_xor(F.xxhash64("sid", F.lit(1))).alias("y")).where("m > 1")
-    kept = met.groupBy("m", "x", "y").agg(F.min("key").alias("key")).select("key", "m")
-    members = stored(pairs.join(kept, "key"), "members")
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    # a member of block b takes part in the cells (i, j), i <= j, with i = b or j = b
-    cells = members.withColumn("g", blocks).withColumn("blk", F.pmod(F.xxhash64("sid", F.lit(2)), "g").cast("int")).select("key", "sid", "blk", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("o"))
-    cells = cells.select("key", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), F.when(F.col("blk") <= F.col("o"), 0).otherwise(1).alias("side"), "sid")
-    wanted = classes.select("sid", "rep").join(members.select("sid").distinct(), "sid").select(F.col("sid").alias("want"), "rep")
+    kept = met.groupBy("m", "x", "y").agg(F.min("key").alias("key")).select("key")
+    members = pairs.join(kept, "key").join(classes.select("sid", "n"), "sid")
+    # sizes of linked sets lie in one band or in neighbours: a set stands under its own band and the next
+    band = F.floor(F.log("n") / F.log(F.lit(100.0 / PERCENT)) + 1e-9).cast("int")
+    banded = stored(members.select("key", "sid", F.explode(F.array(band, band + 1)).alias("band")), "members")
+    # keys with a smallest member in common become one cell, so that a text is sent to few of them
+    meets = banded.groupBy("key", "band").agg(F.count(F.lit(1)).alias("m"), F.min("sid").alias("cell")).where("m > 1").select("key", "band", "cell", F.xxhash64("key", "band").alias("jk"))
+    placed = stored(banded.withColumn("jk", F.xxhash64("key", "band")).join(meets, ["jk", "key", "band"]).select("cell", "sid").distinct(), "placed")
+    sizes = placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("g")).withColumn("jk", F.xxhash64("cell"))
+    # a member of block b takes part in (i, j), i <= j, with i = b or j = b
+    blocks = placed.withColumn("jk", F.xxhash64("cell")).join(sizes, ["jk", "cell"]).withColumn("blk", F.pmod(F.xxhash64("sid", F.lit(2)), "g").cast("int"))
+    cells = blocks.select("cell", "sid", "blk", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("o"))
+    cells = cells.select("cell", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), F.when(F.col("blk") <= F.col("o"), 0).otherwise(1).alias("side"), "sid")
+    wanted = cells.join(classes.select("sid", "rep"), "sid")
     texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t")).join(wanted, F.col("id").eqNullSafe(F.col("rep")))
-    sets = sets_of(texts).where("sid = want").drop("want").dropDuplicates(["sid"])
-    return cells.join(sets, "sid").select("key", "i", "j", "side", "sid", "set").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_cell_links, "a long, b long")
+    return texts.select("cell", "i", "j", "side", "sid", "t").repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j", "sid").mapInArrow(_cell_links, "a long, b long")
 
 
 # --- components
@@ -356,7 +401,7 @@ def components(edges: DataFrame) -> DataFrame:
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and sid of every document."""
     assert percent == PERCENT, "the cells' tasks use PERCENT"
-    desc = stored(described(docs, doc_id, text, common_cells(docs, text), percent), "described")
+    desc = stored(described(docs, doc_id, text, common_bits(docs, doc_id, text), percent), "described")
     roots = components(set_links(docs, desc, doc_id, text))
     own = desc.select("doc_id", "n", "sid")
     df = own.join(roots.select(F.col("v").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))

@@ -117,3 +117,14 @@ def test_odd_tables(spark):
     assert rows == [(4, 4), (4, 4), (6, 6), (None, 4), (None, None)]
     kept = jj.one_of_each(docs)
     assert kept.columns == docs.columns and {r.sid for r in kept.collect()} >= {2, 5}
+
+
+def test_word_hashes_depend_on_words_only():
+    import pyarrow as pa
+
+    texts = ["Ab cd", " ab\tCD\n", None, "", "abcd", "ab cdx", "é É", "x" * 3_000_000 + " ab cd " * 200_000, "x" * 3_000_000]
+    got = [h.tolist() for h in jj.words_of(pa.array(texts))]
+    assert got[0] == got[1] and len(got[0]) == 2 and got[2] == got[3] == [] and len(got[6]) == 2 and got[6][0] != got[6][1]
+    assert len(got[7]) == 400_001 and got[7][1:3] == got[0] and got[7][0] == got[8][0]
+    assert len({h for x in got for h in x}) == 7
+    assert [h.tolist() for h in jj.words_of(pa.array(["zz", *texts]).slice(1))] == got
