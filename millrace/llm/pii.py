@@ -26,8 +26,8 @@ _EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-
 _IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 _CARD = r"[0-9](?:[\x20-]?[0-9]){12}(?:[\x20-]?[0-9])*+"
 _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-_IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
-_SECRET = r"(?i)\b(?:token|secret|password|passwd|api[_-]?key)\b[\x20\t]*[=:][\x20\t]*[\x22']?[A-Za-z0-9+/_-]{16,}+"
+_IBAN = r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b"
+_SECRET = r"(?i)\b(?:token|secret|password|passwd|api[_-]?key)\b[\x20\t]*[=:][\x20\t]*[\x22\x27]?[A-Za-z0-9+/_-]{16,}"
 _BYTE = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])?"
 
 

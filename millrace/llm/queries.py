@@ -17,6 +17,66 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measure(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lost_words")
 
 
+def _op10_sql() -> str:
+    r"""The kinds in DuckDB: parts and matches of a pattern alternate, so positions are sums of their lengths."""
+    byte = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])?"
+    digits = "regexp_replace(m, '[^0-9]', '', 'g')"
+    luhn = f"list_sum(list_transform(string_split(reverse({digits}), ''), lambda c, i: CASE WHEN i % 2 = 0 THEN CAST(c AS INT) * 2 - CASE WHEN CAST(c AS INT) > 4 THEN 9 ELSE 0 END ELSE CAST(c AS INT) END)) % 10 = 0"
+    turned = "string_split(substr(replace(m, ' ', ''), 5) || substr(replace(m, ' ', ''), 1, 4), '')"
+    mod97 = f"list_reduce(list_transform({turned}, lambda c: strpos('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', c) - 1), lambda a, v: CASE WHEN v < 10 THEN (a * 10 + v) % 97 ELSE (a * 100 + v) % 97 END, 0) = 1"
+    patterns = {
+        "email": ("[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)+", "true"),
+        "ip": ("[0-9]+(?:\\.[0-9]+)(?:\\.[0-9]+)(?:\\.[0-9]+)", f"regexp_full_match(m, '{byte}(?:\\.{byte}){{3}}')"),
+        "card": ("[0-9](?:[\\x20-]?[0-9])+", f"CASE WHEN length({digits}) BETWEEN 13 AND 19 THEN {luhn} ELSE false END"),
+        "phone": ("\\+[0-9][\\x20().0-9-]+[0-9]", f"length({digits}) BETWEEN 9 AND 15"),
+        "iban": (pii._IBAN, mod97),
+        "secret": (pii._SECRET, "regexp_matches(m, '[0-9]')"),
+    }
+    found = []
+    for at, (kind, _, _, _, score, context) in enumerate(pii.KINDS):
+        pattern, valid = patterns[kind]
+        near = f"lower(right(pre, {pii.CONTEXT}) || ' ' || left(post, {pii.CONTEXT}))"
+        points = f"least(1.0, {score} + (CASE WHEN regexp_matches({near}, '{context}') THEN 0.1::DOUBLE ELSE 0.0 END - CASE WHEN regexp_matches({near}, '{pii.DOUBT}') THEN 0.3::DOUBLE ELSE 0.0 END))"
+        own = "" if kind in pii.BASE else f" AND {points} >= {pii.MIN_SCORE}"
+        found.append(
+            f"SELECT r, {at} AS ord, '{kind}' AS kind, start, start + length(m) AS stop, {points} AS score FROM (SELECT r, ms[i] AS m, parts[i] AS pre, parts[i + 1] AS post, "
+            f"list_sum(list_transform(parts[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS start "
+            f"FROM (SELECT r, regexp_extract_all(t, '{pattern}') AS ms, string_split_regex(t, '{pattern}') AS parts FROM d WHERE regexp_matches(t, '{pattern}')), unnest(range(1, len(ms) + 1)) AS u(i)) WHERE {valid}{own}"
+        )
+    base = ", ".join(f"'{k}'" for k in pii.BASE)
+    counts = ", ".join(f"count(kind) FILTER (WHERE kind = '{k}') AS n_{k}" for k in pii.BASE)
+    text = "string_agg(kind || ':' || CAST(start AS BIGINT) || ':' || CAST(stop AS BIGINT), ',' ORDER BY ord, start)"
+    return (
+        "WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents), s AS (" + " UNION ALL ".join(found) + ") "
+        f"SELECT doc_id, {counts}, sha256(coalesce({text} FILTER (WHERE kind IN ({base})), '')) AS base_sha256, coalesce({text}, '') AS spans, round(CAST(max(score) AS DOUBLE), 6) AS max_score FROM d LEFT JOIN s USING (r) GROUP BY r, doc_id"
+    )
+
+
+def _op2_sql() -> str:
+    templates = ", ".join(f"({t}, '{label}', [{', '.join(repr(k) for k in keys)}])" for t, (label, _, keys) in enumerate(license_scan.TEMPLATES))
+    postings = ", ".join(f"({t}, {p}, '{w}')" for w, ps in license_scan._postings().items() for t, p in ps)
+    phrases = ", ".join(f"({p.split()!r}, '{label}')" for p, label in license_scan.PHRASES.items())
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '') AS words FROM documents),
+template(t, label, keys) AS (VALUES {templates}), post(t, p, w) AS (VALUES {postings}), phrase(ws, label) AS (VALUES {phrases}),
+token AS (SELECT r, i - 1 AS i, words[i] AS w FROM d, unnest(range(1, len(words) + 1)) AS u(i)),
+base AS (SELECT r, i, label FROM token JOIN d USING (r) JOIN phrase ON w = ws[1] AND words[i + 1:i + len(ws)] = ws),
+bases AS (SELECT r, count(*) AS n, min(i) AS first_word, max(i) AS last_word, list(DISTINCT label) AS labels FROM base GROUP BY r),
+df AS (SELECT w, count(DISTINCT r) AS n FROM token SEMI JOIN post USING (w) GROUP BY w),
+rare AS (SELECT r, w FROM (SELECT r, w, row_number() OVER (PARTITION BY r ORDER BY n, w) AS k FROM (SELECT DISTINCT r, w FROM token) JOIN df USING (w)) WHERE k <= {license_scan.RARE}),
+asked AS (SELECT r, t, count(*) AS n FROM rare JOIN post USING (w) GROUP BY r, t),
+votes AS (SELECT r, t, i - p AS start, count(*) AS n FROM token JOIN rare USING (r, w) JOIN post USING (w) GROUP BY ALL),
+best AS (SELECT r, t, max(n) AS n FROM votes GROUP BY r, t),
+match AS (SELECT r, label, least(1.0, CAST(best.n AS DOUBLE) / asked.n) AS share FROM best JOIN asked USING (r, t) JOIN template USING (t) JOIN d USING (r)
+          WHERE best.n >= {license_scan.MIN_SHARE} * asked.n AND len(list_filter(keys, lambda k: contains(' ' || array_to_string(words, ' ') || ' ', ' ' || k || ' '))) = len(keys)),
+matches AS (SELECT r, max(share) AS share, list(DISTINCT label) AS labels FROM match GROUP BY r)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(bases.n, 0) AS n_base, first_word, last_word, coalesce(array_to_string(list_sort(bases.labels), ','), '') AS base_labels,
+       coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(bases.labels, []), coalesce(matches.labels, [])))), ','), '') AS labels,
+       CAST(greatest(coalesce(share, 0.0), CASE WHEN bases.n > 0 THEN 0.5 ELSE 0.0 END) AS DOUBLE) AS score
+FROM d LEFT JOIN bases USING (r) LEFT JOIN matches USING (r)
+"""
+
+
 OP1_SQL = """
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, coalesce('h' || source, '') AS host FROM documents),
 v AS (SELECT *, list_filter(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS words, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM d),
@@ -110,4 +170,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_pii": op10_pii,
 }
-ORACLE_SQL: dict[str, str] = {"op1_quality_rules": OP1_SQL, "op4_mix_curriculum": OP4_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_license_scan": _op2_sql(), "op10_pii": _op10_sql(), "op1_quality_rules": OP1_SQL, "op4_mix_curriculum": OP4_SQL}

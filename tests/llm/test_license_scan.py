@@ -1,6 +1,8 @@
 import re
 
+import __spark_entry__
 from millrace.llm import license_scan, queries
+from tests.oracle import compare
 
 PHRASES = license_scan.PHRASES
 
@@ -44,3 +46,8 @@ def test_odd_tables_and_query(spark, sf_dir):
     out = queries.op2_license_scan(spark, sf_dir).collect()
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     assert {r.doc_id: (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in out} == {i: brute(t) for i, t in texts.items()}
+
+
+def test_query_matches_sql(spark, sf_dir):
+    assert compare(spark, __spark_entry__, "op2_license_scan", sf_dir) > 0
+    assert compare(spark, __spark_entry__, "op2_license_scan", "/root/testdata/sf0.01") > 0

@@ -1,7 +1,9 @@
 import hashlib
 import re
 
+import __spark_entry__
 from millrace.llm import pii, queries
+from tests.oracle import compare
 
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
 IP = r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)"
@@ -56,3 +58,8 @@ def test_query_and_odd_tables(spark, sf_dir, tmp_path):
     empty = spark.createDataFrame([], "doc_id long, text string, spans int")
     assert pii.find_pii(empty).count() == 0
     assert pii.find_pii(spark.createDataFrame([(1, None, 3), (None, "a@b.c", 4), (1, None, 3)], "doc_id long, text string, spans int")).count() == 3
+
+
+def test_query_matches_sql(spark, sf_dir):
+    assert compare(spark, __spark_entry__, "op10_pii", sf_dir) > 0
+    assert compare(spark, __spark_entry__, "op10_pii", "/root/testdata/sf0.01") > 0
