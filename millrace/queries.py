@@ -11,6 +11,7 @@ from millrace.functions import scalar
 from millrace.operators import iterate
 from millrace.operators.flow import Flow
 from millrace.operators.linalg import Matrix, Vector
+from millrace.sources import files
 from millrace.streaming import windows
 from millrace.tables import table
 
@@ -290,7 +291,7 @@ def top_k(t):
 
 @query("SELECT c_mktsegment AS seg, c_custkey, c_acctbal FROM (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_custkey) AS rn FROM customer) WHERE rn <= 5")
 def top_k_by_key(t):
-    """An extension: the best five of each key, kept as bounded lists that are combined on the map side."""
+    """An extension: the best five of each key; Spark limits each group before the shuffle, so a hot key sends five rows a task."""
     kv = t("customer").key_by("c_mktsegment", lambda r: F.struct((-r.c_acctbal).alias("o"), r.c_custkey, r.c_acctbal))
     from pyspark.sql import Window
 
@@ -368,6 +369,62 @@ def sample_with(t):
     return t("orders").sample_with(even).count()
 
 
+# --- local data and parsed text
+
+
+def _spark(t) -> SparkSession:
+    return t("region").df.sparkSession
+
+
+@query("SELECT * FROM (VALUES (1, 'a'), (2, 'b'), (3, 'c')) AS v(n, s)")
+def parallelize(t):
+    return files.parallelize(_spark(t), [(1, "a"), (2, "b"), (3, "c")], "n int, s string", 5)
+
+
+@query("SELECT CAST(i AS BIGINT) AS idx, chr(CAST(97 + i AS INT)) AS s FROM range(5) AS r(i)")
+def parallel_with_index(t):
+    return files.parallel_with_index(_spark(t), list("abcde"), "s string", 2)
+
+
+@query("SELECT i AS x FROM range(6) AS r(i)")
+def horizontal(t):
+    return files.horizontal(_spark(t), "x long", [0, 1], [2], [3, 4, 5])
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+def json_objects(t):
+    return t("events").map("event_id", k=lambda r: F.from_json(r.props, "k long")["k"])
+
+
+@query("SELECT n_nationkey, str_split_regex(n_name || ',x,,', ',')[1] AS head, 2 AS n FROM nation")
+def split_trimmed(t):
+    """Split as the JVM does it, without empty strings at the end."""
+    parts = lambda r: scalar.split_trimmed(F.concat(r.n_name, F.lit(",x,,")), ",")
+    return t("nation").map("n_nationkey", head=lambda r: F.get(parts(r), F.lit(0)), n=lambda r: F.size(parts(r)))
+
+
+_LINE = "concat_ws(' ', 'st', o_orderkey, 'x', o_custkey, CAST(o_totalprice AS DECIMAL(18,2)), CASE WHEN o_orderkey % 7 = 0 THEN 'M' ELSE CAST(o_custkey % 9 AS VARCHAR) END, o_orderkey % 13, 'a', 'b', 'c', 'd', 'e', 'f')"
+
+
+@query(
+    f"WITH p AS (SELECT string_split({_LINE}, ' ') AS ws FROM orders), q AS (SELECT ws[4:len(ws) - 6] AS xs FROM p), "
+    "v AS (SELECT list_transform(xs, lambda x: CAST(x AS DOUBLE)) AS xs FROM q WHERE len(list_filter(xs, lambda x: regexp_full_match(x, '\\d+(.\\d+)?'))) = len(xs)) "
+    "SELECT CAST(generate_subscripts(xs, 1) - 1 AS BIGINT) AS pos, unnest(xs) AS x FROM v"
+)
+def weather_vectors(t):
+    """Lines of measurements: the middle fields, of those lines where all of them are numbers."""
+    line = F.expr(_LINE.replace("VARCHAR", "STRING"))
+    xs = t("orders").map(line=line).map(xs=lambda r: scalar.dropped(F.split(r.line, r"\s+"), 3, 6))
+    xs = xs.filter(lambda r: F.forall(r.xs, lambda x: scalar.full_match(x, r"\d+(.\d+)?"))).map(xs=lambda r: F.transform(r.xs, lambda x: x.cast("double")))
+    return xs.df.select(F.posexplode("xs").alias("pos", "x")).select(F.col("pos").cast("long").alias("pos"), "x")
+
+
+@query("SELECT r_regionkey * 8 AS x FROM region")
+def repeat_loop(t):
+    """Three steps over a table, each state written to the shared folder."""
+    return iterate.repeat_table(3, t("region").map(x="r_regionkey").df, lambda d: d.select((F.col("x") * 2).alias("x")))
+
+
 # --- the workloads over rankings and visits, on orders and lineitem
 
 
