@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from millrace.operators.reducers import Reducer, reduced
+from millrace.tables import stored
 
 if TYPE_CHECKING:
     from millrace.operators.keyed import GroupedFlow, KeyedFlow
@@ -95,10 +96,11 @@ class Flow:
         """Numbers from 0 in the order given, or else in that of the partitions.
 
         Rows are range-sorted and numbered inside partitions; the partitions' offsets are a prefix sum over their sizes, a row for each
-        partition, so no task sees all rows.
+        partition, so no task sees all rows. The numbered rows are written to the shared folder now: partitions that were
+        dealt out again, or coalesced otherwise, would not fit their offsets.
         """
         df = self.df.orderBy(*order) if order else self.df
-        df = df.withColumn("__at", F.monotonically_increasing_id()).withColumn("__part", F.shiftright("__at", 33))
+        df = stored(df.withColumn("__at", F.monotonically_increasing_id()), "numbered").withColumn("__part", F.shiftright("__at", 33))
         sizes = df.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
         offsets = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__off"))
         out = df.join(F.broadcast(offsets), "__part")  # bounded: a row for each partition

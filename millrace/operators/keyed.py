@@ -69,12 +69,11 @@ class KeyedFlow(Flow):
 
     def cogroup_by_key(self, other: KeyedFlow) -> GroupedFlow:
         """(k, left, right), the keys of either side; null keys of the two sides meet, as when grouping."""
-        a = self.df.groupBy("k").agg(F.collect_list("v").alias("left"))
-        b = other.df.groupBy("k").agg(F.collect_list("v").alias("right"))
-        a, b = a.withColumnRenamed("k", "ka"), b.withColumnRenamed("k", "kb")
-        j = a.join(b, F.col("ka").eqNullSafe(F.col("kb")), "full")
-        none = lambda df, c: F.array().cast(df.schema[c].dataType)
-        return GroupedFlow(j.select(F.coalesce("ka", "kb").alias("k"), F.coalesce("left", none(a, "left")).alias("left"), F.coalesce("right", none(b, "right")).alias("right")))
+        # both sides in one grouping, so one shuffle; values are wrapped, as lists leave nulls out
+        a = self.df.select("k", F.struct("v").alias("a"), F.lit(None).cast(other.df.select(F.struct("v")).schema[0].dataType).alias("b"))
+        b = other.df.select("k", F.lit(None).cast(a.schema["a"].dataType).alias("a"), F.struct("v").alias("b"))
+        g = a.union(b).groupBy("k").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))
+        return GroupedFlow(g.select("k", F.transform("a", lambda x: x["v"]).alias("left"), F.transform("b", lambda x: x["v"]).alias("right")))
 
     def cogroup_apply(self, other: KeyedFlow, f, schema: str) -> Flow:
         """An opaque function over the pandas frames of both sides of each key."""

@@ -35,6 +35,24 @@ def test_empty_and_null_keys(spark):
     assert {(r.k, len(r.left), len(r.right)) for r in some.cogroup_by_key(kv(spark, [(None, 9), ("b", 1)])).collect()} == {(None, 2, 1), ("a", 1, 0), ("b", 0, 1)}
 
 
+def test_cogroup_keeps_null_values_and_shuffles_once(spark):
+    g = kv(spark, [("a", None), ("a", 1)]).cogroup_by_key(kv(spark, [("a", None), ("b", 2)]))
+    assert plans(g.df).physical.count("Exchange") == 1
+    assert {r.k: (sorted(r.left, key=str), r.right) for r in g.collect()} == {"a": ([1, None], [None]), "b": ([], [2])}
+
+
+def test_zip_with_index_when_partitions_are_coalesced(spark):
+    f = files.parallelize(spark, [(i * 7919 % 3000, "x" * (i % 50)) for i in range(3000)], "k long, pad string", 6)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "8k")
+    try:
+        assert sorted((r.idx, r.k) for r in f.zip_with_index("k").collect()) == [(i, i) for i in range(3000)]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+
+
 def test_duplicate_keys_join_as_a_product(spark):
     a, b = kv(spark, [("x", 1), ("x", 2), ("y", 3)]), kv(spark, [("x", 10), ("x", 20), ("z", 1)])
     assert sorted((r.v.left, r.v.right) for r in a.join_by_key(b).collect()) == [(1, 10), (1, 20), (2, 10), (2, 20)]
