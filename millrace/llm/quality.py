@@ -125,7 +125,9 @@ def clean(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str
     """The kept documents, all columns, without the lines above the limit."""
     names = docs.columns
     key = F.xxhash64(F.col(doc_id), F.col(host), F.col(text))
-    verdicts = measure(docs, doc_id, text, host, max_docs).where("kept").groupBy("k").agg(F.first("gone").alias("gone"))
+    # written, so that the condition isn't moved below the counts, which would then be made for it once more
+    verdicts = stored(measure(docs, doc_id, text, host, max_docs).select("k", "kept", "gone"), "verdicts")
+    verdicts = verdicts.where("kept").groupBy("k").agg(F.first("gone").alias("gone"))
     df = docs.select(F.struct(*names).alias("row"), key.alias("k")).join(verdicts, "k")
     gone = F.transform(F.coalesce("gone", F.array().cast("array<struct<i:int,w:bigint>>")), lambda x: x["i"])
     left = let(F.array_sort(gone), lambda g: F.array_join(F.filter(F.transform(lines(F.col(f"row.`{text}`")), lambda x, i: F.when(~F.array_contains(g, i), x)), lambda x: x.isNotNull()), "\n"))
