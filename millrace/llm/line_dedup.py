@@ -5,9 +5,10 @@ not one line before, so boundaries stand two lines apart at least, depend on nea
 is a chunk by itself. Chunks that occur more than once in the corpus (or in one text) are removed but for the first occurrence, by
 document id, if they have two lines or more, or are a long line; each is first compared, byte by byte, with the first one.
 
-Steps: (1) hashes of the chunks are counted, pre-aggregated, no texts shuffled; (2) each document gets the list of its repeated
-chunks (the one shuffle of the texts) and is written to the shared folder; (3) the repeated chunks' texts are compared with their
-first occurrence's by an equi-join on the hash, which adaptive execution can split; (4) chunks that differ after all are kept.
+Steps: (1) hashes of the chunks are counted, pre-aggregated, no texts shuffled, and each document's list of repeated chunks is written
+to the shared folder; (2) the texts of repeated chunks are compared with their first occurrence's by an equi-join on the hash,
+which adaptive execution can split; chunks that differ after all are kept; (3) documents meet their lists and lose the lines.
+Texts are shuffled in (2) and in (3), and never written but as the result.
 
 Defined results: null and empty texts have no chunks and stay; a null id counts as the last; repeated rows (same id
 and text) are one document and are treated alike; documents that lose all their words are dropped by ``dedup``; an empty table gives an empty result;
@@ -60,9 +61,8 @@ def chunk_text(ls: Column, c: Column) -> Column:
     return F.array_join(F.slice(ls, c["first"] + 1, c["size"]), "\n")
 
 
-def _marked(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """row, k and ``cand``: array of the document's repeated chunks (first, size, h1, h2, original)."""
-    names = docs.columns
+def _candidates(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """k and ``cand``: array of a document's repeated chunks (first, size, h1, h2, original); no texts."""
     t, key = F.col(text), F.xxhash64(F.col(doc_id), F.col(text))
     own = docs.select(key.alias("k"), F.col(doc_id).alias("id"), let(lines(t), lambda ls: F.transform(chunks(ls), lambda c: let(chunk_text(ls, c), lambda x: F.struct(c["first"].alias("first"), c["size"].alias("size"), F.xxhash64(x).alias("h1"), F.xxhash64(F.lit(7), x).alias("h2"))))).alias("cs"))
     each = own.select("k", "id", F.explode("cs").alias("c")).select("k", F.struct(F.col("id").isNull().alias("nil"), F.col("id").alias("id"), "k", "c.first").alias("place"), "c.first", "c.size", "c.h1", "c.h2")
@@ -71,21 +71,21 @@ def _marked(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     more = more.select("h1", "h2", "original", F.xxhash64("h1", "h2").alias("jk"))  # joined on another hash besides, so that both sides are exchanged for it
     found = each.withColumn("jk", F.xxhash64("h1", "h2")).join(more, ["jk", "h1", "h2"])
     found = found.select("k", F.struct("first", "size", "h1", "h2", (F.col("place") == F.col("original")).alias("original")).alias("c"))
-    cand = found.groupBy("k").agg(F.collect_set("c").alias("cand"))
-    return docs.select(F.struct(*names).alias("row"), key.alias("k")).join(cand, "k", "left")
+    return found.groupBy("k").agg(F.collect_set("c").alias("cand"))
 
 
 def mark(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """row, ``gone`` (array of (first, size), lines to remove) and ``left``, the text without them."""
-    marked = stored(_marked(docs, doc_id, text), "marked")
-    t = F.col(f"row.`{text}`")
-    texts = marked.where(F.size("cand") > 0).select("k", let(lines(t), lambda ls: F.transform("cand", lambda c: F.struct(c.alias("c"), chunk_text(ls, c).alias("x")))).alias("cs")).select("k", F.explode("cs").alias("e")).select("k", "e.c.first", "e.c.h1", "e.c.h2", "e.c.original", "e.x")
+    key = F.xxhash64(F.col(doc_id), F.col(text))
+    cand = stored(_candidates(docs, doc_id, text), "repeated")
+    texts = docs.select(key.alias("k"), F.col(text).alias("t")).join(cand, "k").select("k", let(lines(F.col("t")), lambda ls: F.transform("cand", lambda c: F.struct(c.alias("c"), chunk_text(ls, c).alias("x")))).alias("cs")).select("k", F.explode("cs").alias("e")).select("k", "e.c.first", "e.c.h1", "e.c.h2", "e.c.original", "e.x")
     # repeated rows: several originals of one text, equal anyway
     originals = texts.where("original").groupBy("h1", "h2").agg(F.first("x").alias("y")).withColumn("jk", F.xxhash64("h1", "h2"))
     unlike = texts.where("not original").withColumn("jk", F.xxhash64("h1", "h2")).join(originals, ["jk", "h1", "h2"]).where(F.col("x") != F.col("y"))
     unlike = stored(unlike.groupBy("k").agg(F.collect_set("first").alias("unlike")), "unlike")  # as good as empty, and of known size once written
-    df = marked.join(unlike, "k", "left")
-    gone = F.array_sort(F.filter(F.coalesce("cand", F.array().cast(marked.schema["cand"].dataType)), lambda c: ~c["original"] & ~F.coalesce(F.array_contains("unlike", c["first"]), F.lit(False))))
+    df = docs.select(F.struct(*docs.columns).alias("row"), key.alias("k")).join(cand, "k", "left").join(unlike, "k", "left")
+    t = F.col(f"row.`{text}`")
+    gone = F.array_sort(F.filter(F.coalesce("cand", F.array().cast(cand.schema["cand"].dataType)), lambda c: ~c["original"] & ~F.coalesce(F.array_contains("unlike", c["first"]), F.lit(False))))
     df = df.select("row", F.transform(gone, lambda c: F.struct(c["first"].alias("first"), c["size"].alias("size"))).alias("gone"))
     # what is left are the stretches of lines before, between and after the removed chunks
     bounds = lambda g, ls: F.concat(F.array(F.struct(F.lit(0).alias("first"), F.lit(0).alias("size"))), g, F.array(F.struct(F.size(ls).alias("first"), F.lit(0).alias("size"))))
