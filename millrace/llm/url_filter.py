@@ -12,7 +12,7 @@ from __future__ import annotations
 from itertools import product
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.feature import CountVectorizerModel, Normalizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,9 +58,10 @@ def fit(spark: SparkSession, labelled: list[tuple[str, int]]) -> tuple[list[floa
     df = spark.createDataFrame(labelled[:MAX_LABELLED], "url string, label int").coalesce(1)
     host, path = url_parts(F.col("url"))
     df = df.select("label", _features(host, path).alias("b"))
-    norm = F.sqrt(F.greatest(F.size("b"), F.lit(1)).cast("double"))
-    hot = F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda i: F.when(F.array_contains("b", i), 1.0 / norm).otherwise(0.0))
-    model = LogisticRegression(maxIter=60, regParam=0.0003, standardization=False).fit(df.select(array_to_vector(hot).alias("features"), F.col("label").cast("double").alias("label")))
+    counted = CountVectorizerModel.from_vocabulary([str(i) for i in range(BUCKETS)], inputCol="b", outputCol="c").setBinary(True)
+    scaled = Normalizer(p=2.0, inputCol="c", outputCol="features")  # 1 / sqrt(buckets hit) each
+    train = scaled.transform(counted.transform(df.select(F.transform("b", lambda i: i.cast("string")).alias("b"), F.col("label").cast("double").alias("label"))))
+    model = LogisticRegression(maxIter=60, regParam=0.0003, standardization=False).fit(train.select("features", "label"))
     return [float(x) for x in model.coefficients], float(model.intercept)
 
 
