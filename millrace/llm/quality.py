@@ -3,10 +3,9 @@
 Lines are normalised (trimmed, lower-cased, runs of digits and of white space made one) and hashed. For each host and line
 the distinct documents are counted; a line of at least ``MIN_LINE_WORDS`` words found in more than ``MAX_DOCS`` of them is
 removed, and a document that loses more than ``MAX_LOST`` of its words is rejected as depleted. Documents count as distinct
-by the smallest hash among their other lines, so copies of one document count once; and a line of which one such group
-holds ``COPY_SHARE`` of the occurrences or more is the mark of a group of near copies, not boilerplate, and stays.
+by a hash of all their normalised lines, so copies of one document count once, and documents that differ in any line are two.
 
-Only counts and hashes are shuffled, never texts: (host, line, signature) counts are pre-aggregated on the map side; the
+Only counts and hashes are shuffled, never texts: (host, line, document) rows are pre-aggregated on the map side; the
 join of lines with the frequent ones is an ordinary equi-join that adaptive execution can split where one line is hot.
 
 Defined results: a null or empty text has zero counts, fails the base rules and is not kept; a null host is a host of its
@@ -23,7 +22,6 @@ from millrace.tables import stored
 
 MIN_LINE_WORDS = 4
 MAX_DOCS = 50
-COPY_SHARE = 0.25
 MAX_LOST = 0.7
 MIN_WORDS = 20
 MAX_REPEATED = 30
@@ -83,24 +81,23 @@ def normalised_lines(text: Column) -> Column:
 
 
 def _line_rows(docs: DataFrame, text: str, host: str, key: Column) -> DataFrame:
-    """key, line number, words, hash within the host, signature of the document around the line; of lines with enough words."""
+    """key, line number, words, hash within the host, hash of the whole document; of lines with enough words."""
     hashed = lambda x: F.conv(F.substring(F.md5(x), 1, 15), 16, 10).cast("long")  # noqa: E731  60 bits
     blanks = lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit("")))
     filled = F.filter(F.transform(normalised_lines(F.col(text)), lambda x, i: F.struct(i.alias("i"), F.when(x == "", 0).otherwise(blanks(x) + 1).cast("long").alias("w"), hashed(x).alias("h"))), lambda x: x["w"] > 0)
 
     def signed(ls: Column) -> Column:
         long = F.filter(ls, lambda x: x["w"] >= MIN_LINE_WORDS)
-        return let(F.sort_array(F.array_distinct(F.transform(ls, lambda x: x["h"]))), lambda m: F.transform(long, lambda x: F.struct(x["i"].alias("i"), x["w"].alias("w"), x["h"].alias("h"), F.when(x["h"] == F.get(m, F.lit(0)), F.coalesce(F.get(m, F.lit(1)), F.lit(0))).otherwise(F.get(m, F.lit(0))).alias("sig"))))
+        return let(F.xxhash64(F.transform(ls, lambda x: x["h"])), lambda d: F.transform(long, lambda x: F.struct(x["i"].alias("i"), x["w"].alias("w"), x["h"].alias("h"), d.alias("doc"))))
 
     df = docs.select(key.alias("k"), F.coalesce(F.concat(F.lit("h"), F.col(host)), F.lit("")).alias("host"), F.explode(let(filled, signed)).alias("x"))
-    return df.select("k", F.col("x.i").alias("i"), F.col("x.w").alias("w"), F.xxhash64("host", "x.h").alias("lk"), F.col("x.sig").alias("sig"))
+    return df.select("k", F.col("x.i").alias("i"), F.col("x.w").alias("w"), F.xxhash64("host", "x.h").alias("lk"), F.col("x.doc").alias("doc"))
 
 
 def removed_lines(docs: DataFrame, text: str, host: str, key: Column, max_docs: int = MAX_DOCS) -> DataFrame:
     """key and ``gone``: array of (line number, words) of the lines above the limit; documents without any have no row."""
     rows = stored(_line_rows(docs, text, host, key), "lines")  # read twice; a few dozen bytes a line
-    alike = rows.groupBy("lk", "sig").agg(F.count(F.lit(1)).alias("n"))
-    often = alike.groupBy("lk").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("all"), F.max("n").alias("most")).where((F.col("docs") > max_docs) & (F.col("most") < COPY_SHARE * F.col("all")))
+    often = rows.select("lk", "doc").distinct().groupBy("lk").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") > max_docs)
     # joined on another hash besides: then both sides are exchanged for the join, and a hot line can be split
     often = often.select("lk", F.xxhash64("lk").alias("jk"))
     found = rows.select("k", "i", "w", "lk", F.xxhash64("lk").alias("jk")).join(often, ["lk", "jk"])

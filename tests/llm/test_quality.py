@@ -57,6 +57,18 @@ def test_frequent_lines_go_and_depleted_documents_with_them(spark):
     assert left[3] == prose(3) and 100 not in left and left[200] == rows[80][1] and len(left) == 40 + 60 + 2
 
 
+def test_lines_shared_in_blocks_go(spark):
+    """Every line that more documents than the limit share goes, however many lines they share and few they have of their own."""
+    rows, want = [], {}
+    for b, (shared, own) in enumerate([(5, 1), (10, 3), (3, 1), (20, 3)]):
+        block = [prose(1000 * b + i, 8) for i in range(shared)]
+        for d in range(60):
+            mine = [prose(100_000 + 10_000 * b + 10 * d + i, 30) for i in range(own)]
+            rows.append((1000 * b + d, "\n".join(block + mine), "a"))
+            want[1000 * b + d] = 8 * shared
+    assert {r.doc_id: r.lost_words for r in measured(spark, rows)} == want
+
+
 def test_odd_tables(spark):
     assert measured(spark, []) == []
     rows = [(None, None, None, 1), (1, "a b", None, 1), (1, "a b", None, 1)]
