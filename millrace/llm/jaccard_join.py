@@ -27,7 +27,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.tables import stored
@@ -203,8 +203,8 @@ def set_id(s: np.ndarray) -> int | None:
 
 
 def described(docs: DataFrame, doc_id: str, text: str, cells: bytes | None, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n (size of the set), sid (null for an empty one), keys (its first shingles, the common ones last)."""
-    df = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t"))
+    """doc_id, k (hash of id and text), n (size of the set), sid (null for an empty one), keys (its first shingles, the common ones last)."""
+    df = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t"), F.xxhash64(F.col(doc_id), F.col(text)).alias("k"))
 
     def run(batches):
         import pyarrow as pa
@@ -226,9 +226,9 @@ def described(docs: DataFrame, doc_id: str, text: str, cells: bytes | None, perc
                 ns.append(n)
                 sids.append(set_id(s))
             arrays = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int64()), pa.array(sids, pa.int64()), arrays], names=["doc_id", "n", "sid", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(ns, pa.int64()), pa.array(sids, pa.int64()), arrays], names=["doc_id", "k", "n", "sid", "keys"])
 
-    return df.mapInArrow(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, n long, sid long, keys array<long>")
+    return df.mapInArrow(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, k long, n long, sid long, keys array<long>")
 
 
 # --- signature trees
@@ -398,14 +398,19 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("v"), F.col("v").alias("root"))
 
 
-def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id and sid of every document."""
+def _rooted(docs: DataFrame, doc_id: str, text: str, percent: int) -> DataFrame:
+    """sid, doc_id, k, n and root (null for an empty set) of every document, as a table."""
     assert percent == PERCENT, "the cells' tasks use PERCENT"
     desc = stored(described(docs, doc_id, text, common_bits(docs, doc_id, text), percent), "described")
     roots = components(set_links(docs, desc, doc_id, text))
-    own = desc.select("doc_id", "n", "sid")
+    own = desc.select("doc_id", "k", "n", "sid")
     df = own.join(roots.select(F.col("v").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    df = stored(df, "rooted")
+    return stored(df, "rooted")
+
+
+def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id and sid of every document."""
+    df = _rooted(docs, doc_id, text, percent)
     # a table of a row per component, joined on another hash besides so that both sides are exchanged and a large one is split
     least = df.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id")).withColumn("jk", F.xxhash64("root"))
     out = df.withColumn("jk", F.xxhash64("root")).join(least, ["jk", "root"], "left")
@@ -413,6 +418,16 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents, all columns, of which each component keeps the one with the smallest id."""
-    stay = jaccard_components(docs, doc_id, text).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(stay, F.col(doc_id).eqNullSafe(F.col("__id"))).select(*docs.columns)
+    """The documents, all columns, of which each component keeps one row: of the smallest id, null as the last, then by the other columns.
+
+    Empty sets are components by their id; those without an id, by their text.
+    """
+    df = _rooted(docs, doc_id, text, PERCENT)
+    place = F.struct(F.col("doc_id").isNull().alias("nil"), F.col("doc_id").alias("id"), "k")
+    linked = df.where("root IS NOT NULL").groupBy("root").agg(F.min(place).alias("p")).select("p.k")
+    empty = df.where("root IS NULL").groupBy("doc_id", F.when(F.col("doc_id").isNull(), F.col("k")).alias("own")).agg(F.min("k").alias("k")).select("k")
+    stay = linked.union(empty).withColumnRenamed("k", "__k")
+    rest = [F.col(f"row.`{c}`") for c, kind in docs.dtypes if c not in (doc_id, text) and "map<" not in kind and kind != "variant"]
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64(F.col(doc_id), F.col(text)).alias("__k")).join(stay, "__k")
+    first = rows.withColumn("__n", F.row_number().over(Window.partitionBy("__k").orderBy(*rest or [F.lit(0)]))).where("__n = 1")
+    return first.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

@@ -119,6 +119,14 @@ def test_odd_tables(spark):
     assert kept.columns == docs.columns and {r.sid for r in kept.collect()} >= {2, 5}
 
 
+def test_one_row_of_each_component_stays(spark):
+    rows = [(None, "a b c d e", 1), (4, "a b c d e", 2), (4, "a b c d e", 3), (None, "x", 4), (6, "other text of its own", 5), (4, "yet another text here", 6)]
+    rows += [(7, "", 7), (7, " ", 8), (8, "", 9), (None, "", 10), (None, "", 11), (None, None, 12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, sid int").repartition(3)
+    kept = sorted(r.sid for r in jj.one_of_each(docs).collect())
+    assert kept[:4] == [2, 4, 5, 6] and sorted({8: 7, 11: 10}.get(x, x) for x in kept[4:]) == [7, 9, 10, 12], kept
+
+
 def test_word_hashes_depend_on_words_only():
     import pyarrow as pa
 
