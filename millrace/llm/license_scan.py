@@ -2,7 +2,7 @@
 
 The templates below are short notices; their words form a positional index (word -> template, position). The inverse document
 frequency of each indexed word is counted over the whole corpus (one aggregation whose result has at most a row for each
-indexed word). In a file, the ``RARE`` indexed words of highest IDF are looked up; their postings vote for (template, start
+indexed word). In a file, all its indexed words are looked up, those of highest IDF first; their postings vote for (template, start
 of the template in the file), the best start of each template is taken, and the template's label is given if at least
 ``MIN_SHARE`` of the postings looked up agree on it and the template's mandatory key phrases stand in the file.
 
@@ -41,6 +41,7 @@ TEMPLATES = (
 )
 #: words of the notices that are too common anywhere to be looked up
 COMMON = frozenset("a and any are as be by can in is it of or that the this to use with without you 0 2 3 4 v".split())
+#: how many words the SQL of the query looks up; ``scan`` takes all
 RARE = 12
 MIN_SHARE = 0.5
 
@@ -93,17 +94,17 @@ def scan(docs: DataFrame, text: str = "text", idf: dict[str, float] | None = Non
         return F.concat(*map(of, PHRASES))
 
     def votes(w: Column, joined: Column) -> Column:
-        """Matches of the templates: postings of the file's rarest indexed words, intersected by relative position."""
+        """Matches of the templates: postings of the file's indexed words, intersected by relative position."""
         own = F.filter(F.transform(w, lambda x, i: F.struct(x.alias("w"), i.alias("i"))), lambda x: x["w"].isin(*index))
 
         def of(own: Column) -> Column:
-            rare = F.slice(F.filter(order, lambda x: F.exists(own, lambda o: o["w"] == x)), 1, RARE)
-            return let(rare, lambda rare: let(F.filter(own, lambda o: F.array_contains(rare, o["w"])), lambda o: F.filter(F.array(*[one(t, rare, o) for t in range(len(TEMPLATES))]), lambda m: m["share"] > 0)))
+            held = F.filter(order, lambda x: F.exists(own, lambda o: o["w"] == x))
+            return let(held, lambda held: F.filter(F.array(*[one(t, held, own) for t in range(len(TEMPLATES))]), lambda m: m["share"] > 0))
 
-        def one(t: int, rare: Column, own: Column) -> Column:
+        def one(t: int, held: Column, own: Column) -> Column:
             label, _, keys = TEMPLATES[t]
             mine = lambda word: F.filter(F.element_at(table, word), lambda p: p["t"] == t)
-            asked = F.aggregate(rare, F.lit(0), lambda a, x: a + F.size(mine(x)))
+            asked = F.aggregate(held, F.lit(0), lambda a, x: a + F.size(mine(x)))
             starts = F.array_sort(F.flatten(F.transform(own, lambda o: F.transform(mine(o["w"]), lambda p: o["i"] - p["p"]))))
             zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("n"), F.lit(0).alias("best_at"), F.lit(0).alias("best"))
 

@@ -39,6 +39,14 @@ def test_templates(spark):
     assert all(0 <= r.score <= 1 for r in got.values())
 
 
+def test_all_notices_of_a_file_are_found(spark):
+    every = ". ".join(notice for _, notice, _ in license_scan.TEMPLATES)
+    prose = "redistribution permission conditions files charge deal binary copy associated documentation forms granted"
+    rows = [(1, every), (2, f"{prose}. {license_scan.TEMPLATES[0][1]}")]
+    got = {r.doc_id: {m.label for m in r.matches} for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == {label for label, _, _ in license_scan.TEMPLATES} and "gpl-3.0" in got[2]
+
+
 def test_odd_tables_and_query(spark, sf_dir):
     assert license_scan.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     rows = license_scan.scan(spark.createDataFrame([(None, None, 1), (1, "mit license", 2), (1, "mit license", 2)], "doc_id long, text string, labels int")).collect()
