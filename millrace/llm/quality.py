@@ -1,7 +1,7 @@
 """Quality rules by cross-document line frequency, with the usual per-document counts.
 
 Lines are normalised (trimmed, lower-cased, runs of digits and of white space made one) and hashed. For each host and line
-the distinct documents are counted; a line of at least ``MIN_LINE_WORDS`` words found in more than ``MAX_DOCS`` of them is
+the distinct documents are counted; a line, however short, found in more than ``MAX_DOCS`` of them is
 removed, and a document that loses more than ``MAX_LOST`` of its words is rejected as depleted. Documents count as distinct
 by a hash of all their normalised lines, so copies of one document count once, and documents that differ in any line are two.
 
@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 from millrace.llm.text import NOT_SPACE, let, words
 from millrace.tables import stored
 
-MIN_LINE_WORDS = 4
 MAX_DOCS = 50
 MAX_LOST = 0.7
 MIN_WORDS = 20
@@ -81,14 +80,13 @@ def normalised_lines(text: Column) -> Column:
 
 
 def _line_rows(docs: DataFrame, text: str, host: str, key: Column) -> DataFrame:
-    """key, line number, words, hash within the host, hash of the whole document; of lines with enough words."""
+    """key, line number, words, hash within the host, hash of the whole document; of lines with words."""
     hashed = lambda x: F.conv(F.substring(F.md5(x), 1, 15), 16, 10).cast("long")  # noqa: E731  60 bits
     blanks = lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit("")))
     filled = F.filter(F.transform(normalised_lines(F.col(text)), lambda x, i: F.struct(i.alias("i"), F.when(x == "", 0).otherwise(blanks(x) + 1).cast("long").alias("w"), hashed(x).alias("h"))), lambda x: x["w"] > 0)
 
     def signed(ls: Column) -> Column:
-        long = F.filter(ls, lambda x: x["w"] >= MIN_LINE_WORDS)
-        return let(F.xxhash64(F.transform(ls, lambda x: x["h"])), lambda d: F.transform(long, lambda x: F.struct(x["i"].alias("i"), x["w"].alias("w"), x["h"].alias("h"), d.alias("doc"))))
+        return let(F.xxhash64(F.transform(ls, lambda x: x["h"])), lambda d: F.transform(ls, lambda x: F.struct(x["i"].alias("i"), x["w"].alias("w"), x["h"].alias("h"), d.alias("doc"))))
 
     df = docs.select(key.alias("k"), F.coalesce(F.concat(F.lit("h"), F.col(host)), F.lit("")).alias("host"), F.explode(let(filled, signed)).alias("x"))
     return df.select("k", F.col("x.i").alias("i"), F.col("x.w").alias("w"), F.xxhash64("host", "x.h").alias("lk"), F.col("x.doc").alias("doc"))

@@ -69,6 +69,13 @@ def test_lines_shared_in_blocks_go(spark):
     assert {r.doc_id: r.lost_words for r in measured(spark, rows)} == want
 
 
+def test_short_lines_count(spark):
+    menu = ["Home", "Contact us", "All rights reserved"]
+    rows = [(i, "\n".join([*menu, prose(i)]), "a") for i in range(60)] + [(100 + i, "\n".join(menu * 5 + [prose(100 + i, 15)]), "a") for i in range(3)]
+    got = {r.doc_id: (r.lost_words, r.base_failed) for r in measured(spark, rows)}
+    assert all(got[i] == (6, False) for i in range(60)) and all(got[100 + i][0] == 30 for i in range(3))
+
+
 def test_odd_tables(spark):
     assert measured(spark, []) == []
     rows = [(None, None, None, 1), (1, "a b", None, 1), (1, "a b", None, 1)]
