@@ -4,7 +4,7 @@ Targets: sources in code-point order (null last) weigh 1, 2, 3, 1, ... and share
 at ``MAX_EPOCHS`` times its source's size and the excess is shared again by weight (water filling: target = min(cap, level *
 weight); the level is found over the sources sorted by cap / weight).
 
-Taking: a source's documents are ordered by a hash of their id; every document is taken ``floor(target / size of source)``
+Taking: a source's documents are ordered by a hash of id and text; every document is taken ``floor(target / size of source)``
 times, and the first ones in that order once more until the target is met, the last of them cut.
 
 Curriculum: source ``s`` of weight ``w`` is asked for at the rate ``target * (1 + slope * (2 t - 1))`` for t from 0 to 1, with
@@ -13,10 +13,12 @@ source gets the t at which the integral reaches ``c``, and the position in the r
 that t; documents are range-sorted by position.
 
 Scale: prefix sums are taken in two levels, (source, bucket of the hash) and then buckets of a source, so no window holds a
-source; buckets hold about ``BUCKET_ROWS`` documents. Tables of a row per source are joined by equality and never collected.
+source; buckets hold about ``BUCKET_ROWS`` documents, whatever their ids (equal or null ids lie in as many buckets as they have
+texts). Tables of a row per source are joined by equality and never collected; their targets are found in one task.
 
 Defined results: null text has size 0; null source is a source of its own; documents of size 0 are never taken (taken 0, no
-position); repeated rows are taken each on its own; an empty table gives an empty result; other columns are kept.
+position, last in the order); repeated rows are taken each on its own, one after the other; rows of one id with unlike texts are
+ordered by the texts' hashes, so reruns agree; an empty table gives an empty result; other columns are kept.
 """
 
 from __future__ import annotations
@@ -56,7 +58,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     words of the source before each of its copies), positions (array, a place in the run for each copy)."""
     names = docs.columns
     size = n_words(F.col(text))
-    df = docs.select(*([F.struct(*names).alias("row")] if carry else []), F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size.alias("size"), F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))).alias("h"))
+    df = docs.select(*([F.struct(*names).alias("row")] if carry else []), F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size.alias("size"), _hash(F.col(doc_id), F.col(text)).alias("h"))
     # the number of buckets grows with the table; the order of documents doesn't depend on it
     n = docs.count()
     buckets = 1 << max(0, (max(1, n) // bucket_rows).bit_length())
@@ -84,6 +86,20 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     return df.select(*keep, positions.alias("positions"))
 
 
+def _hash(doc_id: Column, text: Column) -> Column:
+    """What orders the documents of a source, as hex digits."""
+    return F.md5(F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("")), F.md5(F.coalesce(text, F.lit("")))))
+
+
+def schedule(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **more) -> DataFrame:
+    """The curriculum, range-sorted by position: a row per document with doc_id, source, size, source_size, target, taken, copies, the words of its
+    source before its first copy (``begins``), the positions of its first and last copy in the run; documents never taken come last."""
+    df = mix(docs, doc_id, text, source, carry=False, **more)
+    at = lambda i: F.try_element_at("positions", F.lit(i))
+    df = df.select("doc_id", "source", "size", "source_size", "target", "taken", F.size("positions").cast("long").alias("copies"), F.try_element_at("begins", F.lit(1)).alias("begins"), at(1).alias("position"), at(-1).alias("last_position"))
+    return df.orderBy(F.col("position").asc_nulls_last(), F.col("doc_id").asc_nulls_last(), "size")
+
+
 def _time(share: Column, slope: Column) -> Column:
     """The t at which (1 - slope) t + slope t^2 = share."""
     b = 1.0 - slope

@@ -110,21 +110,31 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mix_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mixing.mix(docs, carry=False).select("doc_id", "size", "source_size", "target", "taken")
+    """The curriculum in its order; positions are rounded to thousandths of a word."""
+    df = mixing.schedule(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    places = [F.round(c, 3).alias(c) for c in ("position", "last_position")]
+    return df.select("doc_id", "size", "source_size", "target", "taken", "copies", "begins", *places)
 
 
 OP4_SQL = """
-WITH d AS (SELECT doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
-s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
-w AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight, 3.0::DOUBLE * source_size AS cap, row_number() OVER (ORDER BY source NULLS LAST) AS place FROM s),
+WITH d AS (SELECT doc_id, source, CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')) AS BIGINT) AS size,
+           md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS h FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS place FROM d GROUP BY source),
+w AS (SELECT *, (place - 1) % 3 + 1 AS weight, [-0.8, 0.0, 0.8][(place - 1) % 3 + 1]::DOUBLE AS slope, 3.0::DOUBLE * source_size AS cap FROM s),
 o AS (SELECT *, row_number() OVER (ORDER BY cap / weight, place) AS rank,
       (CAST(sum(source_size) OVER () AS DOUBLE) - coalesce(sum(cap) OVER (ORDER BY cap / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / CAST(sum(weight) OVER (ORDER BY cap / weight, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS level FROM w),
-t AS (SELECT source, source_size, round(least(cap, coalesce((SELECT arg_min(level, rank) FROM o AS f WHERE f.level * f.weight <= f.cap) * weight, cap)), 6) AS target FROM o),
-c AS (SELECT d.*, t.source_size, t.target, CAST(round(t.target) AS BIGINT) AS goal,
-      coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h, d.doc_id NULLS LAST, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begun FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-e AS (SELECT *, CASE WHEN source_size > 0 THEN goal // source_size ELSE 0 END AS epochs FROM c)
-SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(epochs * size + greatest(0, least(size, goal - epochs * source_size - begun)) AS BIGINT) AS taken FROM e
+t AS (SELECT source, source_size, slope, round(least(cap, coalesce((SELECT arg_min(level, rank) FROM o AS f WHERE f.level * f.weight <= f.cap) * weight, cap)), 6) AS target FROM o),
+run AS (SELECT sum(target) AS words, sum(target * slope) AS slopes FROM t),
+c AS (SELECT d.*, t.source_size, t.target, t.slope, CAST(round(t.target) AS BIGINT) AS goal,
+      CAST(coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h, d.doc_id NULLS LAST, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS begun FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+e AS (SELECT *, CASE WHEN source_size > 0 THEN goal // source_size ELSE 0 END AS epochs FROM c),
+m AS (SELECT *, greatest(0, least(size, goal - epochs * source_size - begun)) AS more FROM e),
+n AS (SELECT *, CAST(epochs * size + more AS BIGINT) AS taken, CASE WHEN epochs * size + more > 0 THEN epochs + CASE WHEN more > 0 THEN 1 ELSE 0 END ELSE 0 END AS copies FROM m),
+x AS (SELECT *, CASE WHEN copies > 0 THEN begun / target END AS first, CASE WHEN copies > 0 THEN ((copies - 1) * source_size + begun) / target END AS last, 1.0::DOUBLE - slope AS b FROM n),
+y AS (SELECT *, CASE WHEN slope = 0 THEN first ELSE (sqrt(greatest(0.0, b * b + 4.0 * slope * first)) - b) / (2.0 * slope) END AS t1,
+             CASE WHEN slope = 0 THEN last ELSE (sqrt(greatest(0.0, b * b + 4.0 * slope * last)) - b) / (2.0 * slope) END AS t2 FROM x)
+SELECT doc_id, size, source_size, target, taken, CAST(copies AS BIGINT) AS copies, CASE WHEN copies > 0 THEN begun END AS begins,
+       CASE WHEN copies > 0 THEN round((words - slopes) * t1 + slopes * t1 * t1, 3) END AS position, CASE WHEN copies > 0 THEN round((words - slopes) * t2 + slopes * t2 * t2, 3) END AS last_position FROM y, run
 """
 
 
