@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import jaccard_join, license_scan, line_dedup, media, mixing, packing, pii, quality, toxicity
+from millrace.llm import jaccard_join, license_scan, line_dedup, media, mixing, packing, pii, quality, tiff, toxicity
 from millrace.llm.url_filter import judge_urls
 from millrace.tables import table
 
@@ -156,6 +156,12 @@ def op8_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_to_media(table(spark, sf_dir, "documents"))
 
 
+def tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts as files, and a row per page of each: the reader of ``op8`` by itself."""
+    files = media.text_files(table(spark, sf_dir, "documents"))
+    return tiff.tiff_pages(files, "file", ["doc_id"]).withColumn("pixels_sha256", F.sha2("pixels", 256)).drop("pixels")
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
 
@@ -177,6 +183,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_pack_binary": op7_pack_binary,
     "op8_tiff_media": op8_tiff_media,
+    "tiff_pages": tiff_pages,
     "op9_toxicity": op9_toxicity,
     "op10_pii": op10_pii,
 }
