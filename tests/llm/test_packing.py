@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pytest
 from millrace.llm import packing, queries
 from tokenizers import Tokenizer
 
@@ -19,9 +20,9 @@ def check(rows, texts):
     by_doc, used = collections.defaultdict(list), set()
     for r in rows:
         by_doc[r.doc_id].append(r)
-        assert r.sequence_id not in used and r.offset == 0 and r.length & (r.length - 1) == 0 and r.length <= 1024
+        assert r.sequence_id not in used and r.offset == 0 and r.length == 1 << r.bucket and r.length <= 1024
         used.add(r.sequence_id)
-    assert set(by_doc) == set(texts)
+    assert set(by_doc) == set(texts) and used == set(range(len(rows)))
     for d, t in texts.items():
         want, at = np.array(ids(t), "<u4"), 0
         for r in sorted(by_doc[d], key=lambda r: r.start):
@@ -38,6 +39,26 @@ def test_odd_texts(spark):
     check(packing.pack(docs).collect(), dict(enumerate(ODD)))
 
 
+@pytest.mark.parametrize("c", [" ", "\n", "\t", "a", "é"])
+def test_a_million_of_one_character(c):
+    text = "x" + c * 1_000_000 + "y"
+    got = packing.encode(text, packing.vocabulary_path("byte_bpe_50k.tiktoken"), packing.vocabulary_path("byte_bpe_50k.json"))
+    assert got.tolist() == ids(text)[:-1]
+
+
+def test_order_of_documents_is_kept(spark, tmp_path):
+    """Copies under one id stay apart and each bucket is in the order of the files, however these are read."""
+    rows = [(i % 7, "word " * (1 + i * 37 % 50)) for i in range(500)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.option("maxRecordsPerFile", 90).parquet(str(tmp_path / "docs"))
+    docs = packing.in_order(spark.read.parquet(str(tmp_path / "docs")))
+    assert [(r.doc_id, r.text) for r in docs.orderBy("place").collect()] == rows
+    out = packing.pack(docs, place="place").orderBy("sequence_id").collect()
+    assert [(-r.bucket, r.position, r.start) for r in out] == sorted((-r.bucket, r.position, r.start) for r in out)
+    assert {(r.position, r.doc_id) for r in out} == {(i, d) for i, (d, _) in enumerate(rows)}
+    local = packing.in_order(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert [(r.doc_id, r.text) for r in local.orderBy("place").collect()] == rows
+
+
 def test_query(spark, sf_dir):
     rows = queries.op7_pack_binary(spark, sf_dir).collect()
     check(rows, {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()})
