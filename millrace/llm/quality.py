@@ -1,9 +1,10 @@
 """Quality rules by cross-document line frequency, with the usual per-document counts.
 
-Lines are normalised (trimmed, lower-cased, runs of digits and of white space made one) and hashed. For each host and line
-the distinct documents are counted; a line, however short, found in more than ``MAX_DOCS`` of them is
-removed, and a document that loses more than ``MAX_LOST`` of its words is rejected as depleted. Documents count as distinct
-by a hash of all their normalised lines, so copies of one document count once, and documents that differ in any line are two.
+Lines are normalised (trimmed, lower-cased, runs of digits and of white space made one) and hashed. For each host and line, however
+short, the distinct documents are counted. Above the limits is a line in more than ``MAX_DOCS`` documents of the host, or in
+``MIN_SHARED`` or more that are also over ``MAX_SHARE`` of the host's documents; it is removed, and a document that loses more than
+``MAX_LOST`` of its words is rejected as depleted. Documents count as distinct by a hash of all their normalised lines, so
+copies of one document count once, and documents that differ in any line are two.
 
 Only counts and hashes are shuffled, never texts: (host, line, document) rows are pre-aggregated on the map side; the
 join of lines with the frequent ones is an ordinary equi-join that adaptive execution can split where one line is hot.
@@ -21,6 +22,8 @@ from millrace.llm.text import NOT_SPACE, let, words
 from millrace.tables import stored
 
 MAX_DOCS = 50
+MIN_SHARED = 8
+MAX_SHARE = 0.1
 MAX_LOST = 0.7
 MIN_WORDS = 20
 MAX_REPEATED = 30
@@ -88,16 +91,29 @@ def _line_rows(docs: DataFrame, text: str, host: str, key: Column) -> DataFrame:
     def signed(ls: Column) -> Column:
         return let(F.xxhash64(F.transform(ls, lambda x: x["h"])), lambda d: F.transform(ls, lambda x: F.struct(x["i"].alias("i"), x["w"].alias("w"), x["h"].alias("h"), d.alias("doc"))))
 
-    df = docs.select(key.alias("k"), F.coalesce(F.concat(F.lit("h"), F.col(host)), F.lit("")).alias("host"), F.explode(let(filled, signed)).alias("x"))
-    return df.select("k", F.col("x.i").alias("i"), F.col("x.w").alias("w"), F.xxhash64("host", "x.h").alias("lk"), F.col("x.doc").alias("doc"))
+    df = docs.select(key.alias("k"), F.xxhash64(F.col(host).isNull(), F.col(host)).alias("hk"), F.explode(let(filled, signed)).alias("x"))
+    return df.select("k", "hk", F.col("x.i").alias("i"), F.col("x.w").alias("w"), F.xxhash64("hk", "x.h").alias("lk"), F.col("x.doc").alias("doc"))
+
+
+def _key(doc_id: str, text: str, host: str) -> Column:
+    """A hash of a row; hashes pass over nulls, so these are told besides."""
+    cs = [F.col(c) for c in (doc_id, host, text)]
+    return F.xxhash64(*cs, *[c.isNull() for c in cs])
+
+
+def frequent_lines(rows: DataFrame, max_docs: int = MAX_DOCS, min_shared: int = MIN_SHARED, max_share: float = MAX_SHARE) -> DataFrame:
+    """lk: the (host, line) above the limits."""
+    docs = rows.select("lk", "hk", "doc").distinct().groupBy("lk", "hk").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= min(min_shared, max_docs + 1))
+    hosts = rows.select("hk", "doc").distinct().groupBy("hk").agg(F.count(F.lit(1)).alias("all_docs")).withColumn("jk", F.xxhash64("hk"))
+    # joined on another hash besides: then both sides are exchanged for the join, and a hot host can be split
+    both = docs.withColumn("jk", F.xxhash64("hk")).join(hosts, ["jk", "hk"])
+    return both.where((F.col("docs") > max_docs) | (F.col("docs") >= min_shared) & (F.col("docs") > max_share * F.col("all_docs"))).select("lk")
 
 
 def removed_lines(docs: DataFrame, text: str, host: str, key: Column, max_docs: int = MAX_DOCS) -> DataFrame:
-    """key and ``gone``: array of (line number, words) of the lines above the limit; documents without any have no row."""
-    rows = stored(_line_rows(docs, text, host, key), "lines")  # read twice; a few dozen bytes a line
-    often = rows.select("lk", "doc").distinct().groupBy("lk").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") > max_docs)
-    # joined on another hash besides: then both sides are exchanged for the join, and a hot line can be split
-    often = often.select("lk", F.xxhash64("lk").alias("jk"))
+    """key and ``gone``: array of (line number, words) of the lines above the limits; documents without any have no row."""
+    rows = stored(_line_rows(docs, text, host, key), "lines")  # read thrice; a few dozen bytes a line
+    often = frequent_lines(rows, max_docs).select("lk", F.xxhash64("lk").alias("jk"))  # likewise, for a hot line
     found = rows.select("k", "i", "w", "lk", F.xxhash64("lk").alias("jk")).join(often, ["lk", "jk"])
     return found.groupBy("k").agg(F.collect_set(F.struct("i", "w")).alias("gone"))
 
@@ -105,7 +121,7 @@ def removed_lines(docs: DataFrame, text: str, host: str, key: Column, max_docs:
 def measure(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", max_docs: int = MAX_DOCS) -> DataFrame:
     """doc_id, the counts, ``base_failed``, ``lost_words``, ``kept`` and ``gone``, a row for each document; no texts are shuffled."""
     t = F.col(text)
-    key = F.xxhash64(F.col(doc_id), F.col(host), t)
+    key = _key(doc_id, text, host)
     base = docs.select(
         F.col(doc_id).alias("doc_id"), key.alias("k"), base_counts(t).alias("c"), n_symbols(t).alias("n_symbols"), n_dup_lines(t).alias("n_dup_lines"),
     ).select("doc_id", "k", "c.n_words", "c.word_chars", "n_symbols", "n_dup_lines", "c.n_repeat_words")
@@ -119,7 +135,7 @@ def measure(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: s
 def clean(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", max_docs: int = MAX_DOCS) -> DataFrame:
     """The kept documents, all columns, without the lines above the limit."""
     names = docs.columns
-    key = F.xxhash64(F.col(doc_id), F.col(host), F.col(text))
+    key = _key(doc_id, text, host)
     # written, so that the condition isn't moved below the counts, which would then be made for it once more
     verdicts = stored(measure(docs, doc_id, text, host, max_docs).select("k", "kept", "gone"), "verdicts")
     verdicts = verdicts.where("kept").groupBy("k").agg(F.first("gone").alias("gone"))

@@ -84,17 +84,18 @@ windows AS (SELECT r, i, array_to_string(words[i:i + 7], ' ') AS x FROM v, unnes
 repeated AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, x) AS c FROM windows) WHERE c > 1),
 covered AS (SELECT r, sum(least(8, coalesce(after - i, 8))) AS n FROM (SELECT r, i, lead(i) OVER (PARTITION BY r ORDER BY i) AS after FROM repeated) GROUP BY r),
 norm AS (SELECT r, host, string_split(regexp_replace(regexp_replace(lower(t), '[\\x09\\x0B-\\x0D][\\x20\\x09\\x0B-\\x0D]*|\\x20[\\x20\\x09\\x0B-\\x0D]+', ' ', 'g'), '[0-9]+', '0', 'g'), chr(10)) AS xs FROM d),
-each AS (SELECT r, host, trim(x, ' ') AS x FROM (SELECT r, host, unnest(xs) AS x FROM norm)),
-hashed AS (SELECT r, host, CAST(('0x' || substr(md5(x), 1, 15)) AS BIGINT) AS h, length(x) - length(replace(x, ' ', '')) + 1 AS w FROM each WHERE x <> ''),
-least_two AS (SELECT r, list_sort(list_distinct(list(h))) AS m FROM hashed GROUP BY r),
-signed AS (SELECT r, host, h, w, CASE WHEN h = m[1] THEN coalesce(m[2], 0) ELSE m[1] END AS sig FROM hashed JOIN least_two USING (r) WHERE w >= 4),
-often AS (SELECT host, h FROM (SELECT host, h, sig, count(*) AS n FROM signed GROUP BY ALL) GROUP BY host, h HAVING count(*) > 50 AND max(n) < 0.25 * sum(n)),
-lost AS (SELECT r, sum(w) AS n FROM signed SEMI JOIN often USING (host, h) GROUP BY r),
+each AS (SELECT r, host, i, trim(x, ' ') AS x FROM (SELECT r, host, unnest(xs) AS x, generate_subscripts(xs, 1) AS i FROM norm)),
+hashed AS (SELECT r, host, i, CAST(('0x' || substr(md5(x), 1, 15)) AS BIGINT) AS h, length(x) - length(replace(x, ' ', '')) + 1 AS w FROM each WHERE x <> ''),
+doc AS (SELECT r, any_value(host) AS host, string_agg(CAST(h AS VARCHAR), ',' ORDER BY i) AS doc FROM hashed GROUP BY r),
+hosts AS (SELECT host, count(DISTINCT doc) AS all_docs FROM doc GROUP BY host),
+often AS (SELECT host, h FROM (SELECT hashed.host, h, count(DISTINCT doc) AS docs FROM hashed JOIN doc USING (r) GROUP BY hashed.host, h) JOIN hosts USING (host)
+          WHERE docs > {max_docs} OR (docs >= {min_shared} AND docs > {max_share}::DOUBLE * all_docs)),
+lost AS (SELECT r, sum(w) AS n FROM hashed SEMI JOIN often USING (host, h) GROUP BY r),
 base AS (SELECT r, doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
          CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(lost.n, 0) AS BIGINT) AS lost_words FROM v LEFT JOIN covered USING (r) LEFT JOIN lost USING (r))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
        NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND lost_words <= 0.7 * n_words AS kept, lost_words FROM base
-"""
+""".replace("{max_docs}", str(quality.MAX_DOCS)).replace("{min_shared}", str(quality.MIN_SHARED)).replace("{max_share}", str(quality.MAX_SHARE))
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

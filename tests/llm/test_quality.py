@@ -69,6 +69,43 @@ def test_lines_shared_in_blocks_go(spark):
     assert {r.doc_id: r.lost_words for r in measured(spark, rows)} == want
 
 
+def brute_lost(docs, max_docs=50, min_shared=8, max_share=0.1):
+    """docs: (id, text, host); id -> words in lines above the limits, from the definition."""
+    norm = {i: [re.sub("[0-9]+", "0", " ".join(re.findall(W, x.lower()))) for x in (t or "").split("\n")] for i, t, _ in docs}
+    seen, of_host = collections.defaultdict(set), collections.defaultdict(set)
+    for i, _, h in docs:
+        whole = tuple(x for x in norm[i] if x)
+        if whole:
+            of_host[h].add(whole)
+        for x in whole:
+            seen[h, x].add(whole)
+    often = {k for k, s in seen.items() if len(s) > max_docs or len(s) >= min_shared and len(s) > max_share * len(of_host[k[0]])}
+    return {i: sum(len(x.split(" ")) for x in norm[i] if x and (h, x) in often) for i, _, h in docs}
+
+
+def test_verdicts_match_brute_force(spark):
+    """The whole verdict, on a table where lines are above the limits and on one with boilerplate in blocks of 2, 6 and 10 lines, copies and nulls."""
+    real = [(r.doc_id, r.text, r.source) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    made = [(i, None if i % 50 == 0 else t, s) for i, t, s in real[:100]]
+    for b, (shared, own) in enumerate([(2, 1), (6, 3), (10, 5)]):
+        block = [prose(1000 * b + i, 8) for i in range(shared)]
+        for d in range(90):
+            mine = [prose(100_000 + 10_000 * b + 10 * (d if d % 9 else 0) + i, 8) for i in range(own)]
+            made.append((10_000 + 1000 * b + d, "\n".join(block + mine), ("a", "b", None)[d % 3]))
+    for docs, least in ((real, 5), (made, 100)):
+        want = brute_lost(docs)
+        assert sum(x > 0 for x in want.values()) >= least
+        got = {r.doc_id: (r.lost_words, r.kept) for r in measured(spark, docs)}
+        for i, t, _ in docs:
+            failed = base(t)
+            assert got[i] == (want[i], not failed[-1] and want[i] <= 0.7 * failed[0]), i
+
+
+def test_rows_with_nulls_are_told_apart(spark):
+    rows = [(1, "A " + prose(5), None), (1, None, "A " + prose(5))]
+    assert sorted(r.n_words for r in measured(spark, rows)) == [0, 31]
+
+
 def test_short_lines_count(spark):
     menu = ["Home", "Contact us", "All rights reserved"]
     rows = [(i, "\n".join([*menu, prose(i)]), "a") for i in range(60)] + [(100 + i, "\n".join(menu * 5 + [prose(100 + i, 15)]), "a") for i in range(3)]
