@@ -105,9 +105,32 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = line_dedup.mark(table(spark, sf_dir, "documents"))
-    lost = F.aggregate("gone", F.lit(0).cast("long"), lambda a, c: a + c["size"])
     kept = (F.size("gone") == 0) | F.col("left").rlike("[^\\x20\\x09-\\x0D]")
-    return df.select("row.doc_id", F.size("gone").cast("long").alias("n_removed_chunks"), lost.alias("n_removed_lines"), F.length("left").cast("long").alias("chars_left"), F.sha2(F.col("left").cast("binary"), 256).alias("left_sha256"), kept.alias("kept"))
+    return df.select("row.doc_id", F.size("gone").cast("long").alias("n_removed_lines"), F.length("left").cast("long").alias("chars_left"), F.sha2(F.col("left").cast("binary"), 256).alias("left_sha256"), kept.alias("kept"))
+
+
+OP3_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, text, string_split(coalesce(text, ''), chr(10)) AS xs FROM documents),
+each AS (SELECT r, doc_id, unnest(xs) AS x, generate_subscripts(xs, 1) AS i FROM d),
+part AS (SELECT *, count(*) FILTER (WHERE regexp_matches(x, '[^\\x20\\x09-\\x0D]')) OVER (PARTITION BY r ORDER BY i) - 1 AS p FROM each),
+filled AS (SELECT r, doc_id, x, p, CAST(('0x' || substr(md5(x), 1, 15)) AS BIGINT) % {prime} AS h, len(list_filter(regexp_split_to_array(x, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')) AS words
+           FROM part WHERE regexp_matches(x, '[^\\x20\\x09-\\x0D]')),
+rolled AS (SELECT *, coalesce((h + lag(h) OVER w * {factor}) % {prime} % {spacing} = 0, false) AS zero, lead(x) OVER w AS after FROM filled WINDOW w AS (PARTITION BY r ORDER BY p)),
+ended AS (SELECT *, zero AND NOT coalesce(lag(zero) OVER w, false) AS last FROM rolled WINDOW w AS (PARTITION BY r ORDER BY p)),
+numbered AS (SELECT *, coalesce(sum(CASE WHEN last THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c FROM ended),
+chunk AS (SELECT 1 AS kind, r, doc_id, min(p) AS first, count(*) AS size, string_agg(x, chr(10) ORDER BY p) AS content FROM numbered GROUP BY r, doc_id, c HAVING count(*) > 1
+          UNION ALL SELECT 2, r, doc_id, p, 2, x || chr(10) || after FROM rolled WHERE after IS NOT NULL
+          UNION ALL SELECT 3, r, doc_id, p, 1, x FROM filled WHERE words >= {long}),
+more AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY kind, content ORDER BY doc_id NULLS LAST, r, first) AS k FROM chunk) WHERE k > 1),
+island AS (SELECT r, first, first - row_number() OVER (PARTITION BY r ORDER BY first) AS g FROM more WHERE kind = 2),
+stretch AS (SELECT r, min(first) AS a, max(first) + 1 AS z FROM island GROUP BY r, g),
+long AS (SELECT stretch.r, a, z FROM stretch JOIN filled ON filled.r = stretch.r AND p BETWEEN a AND z GROUP BY ALL HAVING sum(words) >= {long}),
+gone AS (SELECT r, unnest(range(first, first + size)) AS p FROM more WHERE kind IN (1, 3) UNION SELECT r, unnest(range(a, z + 1)) FROM long),
+n AS (SELECT r, count(*) AS n FROM gone GROUP BY r),
+rest AS (SELECT r, string_agg(x, chr(10) ORDER BY i) AS t FROM part ANTI JOIN gone USING (r, p) GROUP BY r),
+res AS (SELECT doc_id, coalesce(n, 0) AS n, CASE WHEN n IS NULL THEN text ELSE coalesce(t, '') END AS t FROM d LEFT JOIN n USING (r) LEFT JOIN rest USING (r))
+SELECT doc_id, CAST(n AS BIGINT) AS n_removed_lines, CAST(length(t) AS BIGINT) AS chars_left, sha256(t) AS left_sha256, n = 0 OR regexp_matches(t, '[^\\x20\\x09-\\x0D]') AS kept FROM res
+""".replace("{prime}", str(line_dedup._PRIME)).replace("{factor}", str(line_dedup._FACTOR)).replace("{spacing}", str(line_dedup.SPACING)).replace("{long}", str(line_dedup.LONG))
 
 
 def op4_mix_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,4 +211,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_pii": op10_pii,
 }
-ORACLE_SQL: dict[str, str] = {"op2_license_scan": _op2_sql(), "op10_pii": _op10_sql(), "op1_quality_rules": OP1_SQL, "op4_mix_curriculum": OP4_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_license_scan": _op2_sql(), "op10_pii": _op10_sql(), "op1_quality_rules": OP1_SQL, "op3_line_dedup": OP3_SQL, "op4_mix_curriculum": OP4_SQL}
