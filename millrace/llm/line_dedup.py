@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.text import NOT_SPACE, let, n_words, prefix_sums
+from millrace.llm.text import NOT_SPACE, SPACE, let, n_words, prefix_sums
 from millrace.tables import stored
 
 WINDOW = 2
@@ -69,8 +69,8 @@ def chunks(text: Column, spacing: int = SPACING, long: int = LONG) -> Column:
 
 
 def _is_long(x: Column, long: int) -> Column:
-    """Lines of fewer characters than words and blanks take needn't be counted."""
-    return F.when(F.length(x) >= 2 * long - 1, n_words(x) >= long).otherwise(False)
+    """Whether a line has ``long`` words, read no further than to the last of them."""
+    return F.when(F.length(x) >= 2 * long - 1, x.rlike(rf"\A{SPACE}*+(?:{NOT_SPACE}++{SPACE}++){{{long - 1}}}{NOT_SPACE}")).otherwise(False)
 
 
 def _key(doc_id: str, text: str) -> Column:
