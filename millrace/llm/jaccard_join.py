@@ -12,11 +12,14 @@ A document's set is its distinct 4-word shingles (64-bit hashes). Two sets A and
 3. The members of a cell form a signature tree: sorted by size, leaves of ``LEAF`` sets, ``FANOUT`` nodes to a parent, each node with
    the OR of its sets' bitmaps, their range of sizes and their most bits lost by collision. A dual traversal prunes node pairs by
    the largest overlap they could have; pairs of sets that remain are compared exactly unless links found before connect them,
-   so a cell gives at most one link less than it has members. A cell with more than ``BLOCK`` members is dealt in blocks
-   to several tasks, every pair of blocks to one of them.
-4. Components of the links by alternating large-star and small-star steps on distributed tables, each written to the shared folder.
+   so a cell gives at most one link less than it has members.
+4. A cell with more than ``BLOCK`` members or ``BLOCK_SHINGLES`` shingles is dealt out in blocks. First each block is joined within itself, with
+   ``PIVOTS`` members of the cell beside it: near copies find one another through the pivots, in rows that grow with the members. What then is not of the
+   cell's largest component meets the other blocks: the exact way for the rest, few where the cell is a group of near copies.
+5. Components of the links by alternating large-star and small-star steps on distributed tables, each written to the shared folder.
 
-Nothing that grows with the corpus is broadcast or collected: only the ``CELLS`` bits of common shingles reach the driver.
+Texts are found by a hash of row, once for each class, so null and repeated ids cost what other rows cost. Nothing that grows with the
+corpus is broadcast or collected: only the ``CELLS`` bits of common shingles reach the driver.
 
 Defined results: null texts and texts without words have no shingles and no links; a null id takes part, but names a component only
 where no other id can; repeated rows are equal sets; an empty table gives an empty result; other columns are ignored.
@@ -27,7 +30,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.tables import stored
@@ -40,7 +43,11 @@ CELLS = 1 << 24
 _CHUNK = 1 << 14
 LEAF = 32
 FANOUT = 8
-BLOCK = 1500
+BLOCK = 256
+BLOCK_SHINGLES = 1 << 21
+PIVOTS = 4
+#: blocks are larger where the rest of a cell meets them
+REST = 2048
 
 #: bytes hashed at a time
 _PIECE = 1 << 20
@@ -156,13 +163,13 @@ def shingle_sets(column) -> Iterator[np.ndarray]:
 # --- common shingles
 
 
-def common_bits(docs: DataFrame, doc_id: str, text: str) -> bytes:
+def common_bits(docs: DataFrame, doc_id: str, text: str, percent: int = PERCENT) -> bytes:
     """A bit for each of ``CELLS`` (the low bits of a hash): whether a common shingle falls there.
 
     Common are the first shingles of sets, by hash alone, that more than ``COMMON`` documents have among theirs; the limit is doubled
     until no more than a quarter of the bits can be set.
     """
-    first = described(docs, doc_id, text, None).select(F.explode("keys").alias("key"))
+    first = described(docs, doc_id, text, None, percent).select(F.explode("keys").alias("key"))
     often = stored(first.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > COMMON), "common")
     steps = {r.step: r.n for r in often.groupBy(F.floor(F.log2(F.col("m"))).alias("step")).agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each power of two
     limit = COMMON
@@ -202,9 +209,14 @@ def set_id(s: np.ndarray) -> int | None:
     return v - (1 << 64) if v >> 63 else v
 
 
+def _row_key(doc_id: str, text: str) -> Column:
+    """A hash of id and text; hashes pass over nulls, so these are told besides."""
+    return F.xxhash64(F.col(doc_id), F.col(text), F.col(doc_id).isNull(), F.col(text).isNull())
+
+
 def described(docs: DataFrame, doc_id: str, text: str, cells: bytes | None, percent: int = PERCENT) -> DataFrame:
     """doc_id, k (hash of id and text), n (size of the set), sid (null for an empty one), keys (its first shingles, the common ones last)."""
-    df = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t"), F.xxhash64(F.col(doc_id), F.col(text)).alias("k"))
+    df = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t"), _row_key(doc_id, text).alias("k"))
 
     def run(batches):
         import pyarrow as pa
@@ -293,9 +305,11 @@ def near_pairs(a: SignatureTree, b: SignatureTree, percent: int) -> Iterator[tup
 
 
 def links(sids: list[int], sets: list[np.ndarray], side: list[int] | None = None, percent: int = PERCENT) -> list[tuple[int, int]]:
-    """Links that connect all linked sets, a forest. side: 0 and 1 of two blocks; only pairs of different blocks are then looked at."""
+    """Links that connect all linked sets, a forest. side: 0 for sets known to be connected, 1 for others; only pairs of both sides are then looked at."""
     order = sorted(range(len(sets)), key=lambda i: (len(sets[i]), sids[i]))
     parent = list(range(len(sets)))
+    if side is not None and 0 in side:
+        parent = [i if s else side.index(0) for i, s in enumerate(side)]
 
     def root(i: int) -> int:
         while parent[i] != i:
@@ -325,53 +339,92 @@ def links(sids: list[int], sets: list[np.ndarray], side: list[int] | None = None
     return out
 
 
-def _cell_links(batches):
-    """Rows (cell, i, j, side, sid, text), sorted by cell, i and j -> links of each (cell, i, j)."""
-    import pyarrow as pa
-
-    now, sids, sets, side = None, [], [], []
+def _cell_links(df: DataFrame, percent: int) -> DataFrame:
+    """df: cell, blk, side, sid, t (text); links (a, b) that connect the linked sets of each (cell, blk), between its two sides if ``side`` isn't null."""
 
-    def done():
-        found = links(sids, sets, side if now[1] != now[2] else None) if len(sids) > 1 else []
-        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+    def run(batches):
+        import pyarrow as pa
 
-    for batch in batches:
-        cell, i, j, sd, sid = (batch.column(k).to_pylist() for k in range(5))
-        for r, s in enumerate(shingle_sets(batch.column(5))):
-            if (at := (cell[r], i[r], j[r])) != now:
-                if len(sids) > 1:
-                    yield done()
-                now, sids, sets, side = at, [], [], []
-            if set_id(s) == sid[r] and sid[r] not in sids[-1:]:  # another text under the same id; a repeated row
-                sids.append(sid[r])
-                sets.append(s)
-                side.append(sd[r])
-    if len(sids) > 1:
-        yield done()
+        now, sids, sets, side = None, [], [], []
 
+        def done():
+            found = links(sids, sets, None if side[0] is None else side, percent)
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-def set_links(docs: DataFrame, desc: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """a, b: links between classes that connect all that are linked. desc: ``described``, as a table."""
-    classes = desc.where("sid IS NOT NULL").groupBy("sid").agg(F.first("keys").alias("keys"), F.first("n").alias("n"), F.min("doc_id").alias("rep"))
-    classes = stored(classes, "classes")
+        for batch in batches:
+            cell, blk, sd, sid = (batch.column(k).to_pylist() for k in range(4))
+            for r, s in enumerate(shingle_sets(batch.column(4))):
+                if (at := (cell[r], blk[r])) != now:
+                    if len(sids) > 1:
+                        yield done()
+                    now, sids, sets, side = at, [], [], []
+                if set_id(s) == sid[r] and sid[r] not in sids[-1:]:  # another text under the same hash of row; a pivot in its own block
+                    sids.append(sid[r])
+                    sets.append(s)
+                    side.append(sd[r])
+        if len(sids) > 1:
+            yield done()
+
+    rows = df.select("cell", "blk", "side", "sid", "t").repartition("cell", "blk").sortWithinPartitions("cell", "blk", "sid")
+    return rows.mapInArrow(run, "a long, b long")
+
+
+def _cells(desc: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """cell, sid, n: classes that stand under a key together, as a table; the cells of one member are left out."""
     pairs = classes.select(F.explode("keys").alias("key"), "sid").repartition("key")  # dealt once, used by both the counts and the join
     met = pairs.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("sid")).alias("x"), F.bit_xor(F.xxhash64("sid", F.lit(1))).alias("y")).where("m > 1")
     kept = met.groupBy("m", "x", "y").agg(F.min("key").alias("key")).select("key")
     members = pairs.join(kept, "key").join(classes.select("sid", "n"), "sid")
     # sizes of linked sets lie in one band or in neighbours: a set stands under its own band and the next
-    band = F.floor(F.log("n") / F.log(F.lit(100.0 / PERCENT)) + 1e-9).cast("int")
-    banded = stored(members.select("key", "sid", F.explode(F.array(band, band + 1)).alias("band")), "members")
+    band = F.floor(F.log("n") / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int")
+    banded = stored(members.select("key", "sid", "n", F.explode(F.array(band, band + 1)).alias("band")), "members")
     # keys with a smallest member in common become one cell, so that a text is sent to few of them
     meets = banded.groupBy("key", "band").agg(F.count(F.lit(1)).alias("m"), F.min("sid").alias("cell")).where("m > 1").select("key", "band", "cell", F.xxhash64("key", "band").alias("jk"))
-    placed = stored(banded.withColumn("jk", F.xxhash64("key", "band")).join(meets, ["jk", "key", "band"]).select("cell", "sid").distinct(), "placed")
-    sizes = placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("g")).withColumn("jk", F.xxhash64("cell"))
-    # a member of block b takes part in (i, j), i <= j, with i = b or j = b
-    blocks = placed.withColumn("jk", F.xxhash64("cell")).join(sizes, ["jk", "cell"]).withColumn("blk", F.pmod(F.xxhash64("sid", F.lit(2)), "g").cast("int"))
-    cells = blocks.select("cell", "sid", "blk", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("o"))
-    cells = cells.select("cell", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), F.when(F.col("blk") <= F.col("o"), 0).otherwise(1).alias("side"), "sid")
-    wanted = cells.join(classes.select("sid", "rep"), "sid")
-    texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t")).join(wanted, F.col("id").eqNullSafe(F.col("rep")))
-    return texts.select("cell", "i", "j", "side", "sid", "t").repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j", "sid").mapInArrow(_cell_links, "a long, b long")
+    return stored(banded.withColumn("jk", F.xxhash64("key", "band")).join(meets, ["jk", "key", "band"]).select("cell", "sid", "n").distinct(), "placed")
+
+
+def set_links(docs: DataFrame, desc: DataFrame, doc_id: str, text: str, percent: int = PERCENT) -> DataFrame:
+    """a, b: links between classes that connect all that are linked. desc: ``described``, as a table."""
+    classes = stored(desc.where("sid IS NOT NULL").groupBy("sid").agg(F.first("keys").alias("keys"), F.first("n").alias("n"), F.min("k").alias("rep")), "classes")
+    placed = _cells(desc, classes, percent)
+    # each text once, however often a row is repeated
+    texts = docs.select(_row_key(doc_id, text).alias("rep"), F.col(text).alias("t")).groupBy("rep").agg(F.first("t").alias("t"))
+
+    def with_texts(cells: DataFrame) -> DataFrame:
+        return texts.join(cells.join(classes.select("sid", "rep"), "sid"), "rep")
+
+    by_cell = F.xxhash64("cell")  # joined on another hash besides, so that both sides are exchanged and a large cell can be split
+    pick = lambda i: F.min(F.struct(F.xxhash64("sid", F.lit(i)), "sid"))["sid"]
+    sizes = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("all"), *[pick(i).alias(f"p{i}") for i in range(PIVOTS)])
+    blocks = lambda most, factor: F.greatest(F.ceil(F.col("m") / most), F.ceil(F.col("all") / (factor * BLOCK_SHINGLES))).cast("int")
+    sizes = stored(sizes.select("cell", blocks(BLOCK, 1).alias("g"), blocks(REST, 4).alias("g2"), F.array_distinct(F.array(*[f"p{i}" for i in range(PIVOTS)])).alias("pivots")), "cells")
+    blk = lambda g: F.pmod(F.xxhash64("sid", F.lit(2)), g).cast("int")
+    dealt = placed.select("cell", "sid").withColumn("jk", by_cell).join(sizes.select("cell", "g", "g2").withColumn("jk", by_cell), ["jk", "cell"])
+    own = dealt.select("cell", blk("g").alias("blk"), "sid")
+    beside = sizes.where("g > 1").select("cell", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("blk"), "pivots").select("cell", "blk", F.explode("pivots").alias("sid"))
+    none = F.lit(None).cast("int").alias("side")
+    first = stored(_cell_links(with_texts(own.union(beside)).select("cell", "blk", none, "sid", "t"), percent), "near")
+    large = dealt.where("g > 1")
+    if not large.head(1):
+        return first
+    # of each large cell, the members that aren't of its largest component meet the blocks of all others
+    roots = stored(components(first).select(F.col("v").alias("sid"), "root"), "roots")
+    held = stored(large.select("cell", "g2", "sid").join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid")), "held")
+    counts = held.groupBy("cell", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("cell").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.sum("c").alias("m"), F.max("c").alias("c"))
+    counts = counts.where("c < m").select("cell", "main").withColumn("jk", by_cell)
+    both = stored(held.withColumn("jk", by_cell).join(counts, ["jk", "cell"]).select("cell", "g2", "sid", (F.col("root") == F.col("main")).alias("in_main")), "rest")
+    if not both.head(1):
+        return first
+    main = both.where("in_main").select("cell", blk("g2").alias("blk"), F.lit(0).alias("side"), "sid")
+    rest = both.where("not in_main")
+    meet = rest.select("cell", F.explode(F.sequence(F.lit(0), F.col("g2") - 1)).alias("blk"), F.lit(1).alias("side"), "sid")
+    # the rest among itself: pairs of its own blocks, numbered below zero
+    n_rest = rest.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / REST).cast("int").alias("g3")).withColumn("jk", by_cell)
+    among = rest.withColumn("jk", by_cell).join(n_rest, ["jk", "cell"]).withColumn("b", F.pmod(F.xxhash64("sid", F.lit(3)), "g3").cast("int"))
+    among = among.select("cell", "sid", "b", "g3", F.explode(F.sequence(F.lit(0), F.col("g3") - 1)).alias("o"))
+    pair = -1 - F.least("b", "o") * F.col("g3") - F.greatest("b", "o")
+    among = among.select("cell", pair.cast("int").alias("blk"), none, "sid")
+    return first.union(_cell_links(with_texts(main.union(meet).union(among)), percent))
 
 
 # --- components
@@ -400,9 +453,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _rooted(docs: DataFrame, doc_id: str, text: str, percent: int) -> DataFrame:
     """sid, doc_id, k, n and root (null for an empty set) of every document, as a table."""
-    assert percent == PERCENT, "the cells' tasks use PERCENT"
-    desc = stored(described(docs, doc_id, text, common_bits(docs, doc_id, text), percent), "described")
-    roots = components(set_links(docs, desc, doc_id, text))
+    desc = stored(described(docs, doc_id, text, common_bits(docs, doc_id, text, percent), percent), "described")
+    roots = components(set_links(docs, desc, doc_id, text, percent))
     own = desc.select("doc_id", "k", "n", "sid")
     df = own.join(roots.select(F.col("v").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     return stored(df, "rooted")
@@ -417,17 +469,17 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "sid")
 
 
-def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """The documents, all columns, of which each component keeps one row: of the smallest id, null as the last, then by the other columns.
 
     Empty sets are components by their id; those without an id, by their text.
     """
-    df = _rooted(docs, doc_id, text, PERCENT)
+    df = _rooted(docs, doc_id, text, percent)
     place = F.struct(F.col("doc_id").isNull().alias("nil"), F.col("doc_id").alias("id"), "k")
     linked = df.where("root IS NOT NULL").groupBy("root").agg(F.min(place).alias("p")).select("p.k")
     empty = df.where("root IS NULL").groupBy("doc_id", F.when(F.col("doc_id").isNull(), F.col("k")).alias("own")).agg(F.min("k").alias("k")).select("k")
     stay = linked.union(empty).withColumnRenamed("k", "__k")
     rest = [F.col(f"row.`{c}`") for c, kind in docs.dtypes if c not in (doc_id, text) and "map<" not in kind and kind != "variant"]
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64(F.col(doc_id), F.col(text)).alias("__k")).join(stay, "__k")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), _row_key(doc_id, text).alias("__k")).join(stay, "__k")
     first = rows.withColumn("__n", F.row_number().over(Window.partitionBy("__k").orderBy(*rest or [F.lit(0)]))).where("__n = 1")
     return first.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

@@ -172,6 +172,23 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(docs).select("doc_id", "n_shingles", "component_id")
 
 
+#: links of the definition: classes of equal sets, pairs by shared shingles, components by reachable classes
+OP6_SQL = """
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS ws FROM documents),
+sets AS (SELECT r, doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < {size} THEN [array_to_string(ws, ' ')]
+                           ELSE list_sort(list_distinct(list_transform(range(1, len(ws) - {size} + 2), lambda i: array_to_string(ws[i:i + {size} - 1], ' ')))) END AS s FROM d),
+class AS (SELECT s, min(r) AS c, len(s) AS n FROM sets WHERE len(s) > 0 GROUP BY s),
+shingle AS (SELECT c, n, unnest(s) AS x FROM class),
+link AS (SELECT a.c AS a, b.c AS b FROM shingle a JOIN shingle b ON a.x = b.x AND a.c <> b.c AND 100 * a.n >= {percent} * b.n AND 100 * b.n >= {percent} * a.n
+         GROUP BY a.c, b.c, a.n, b.n HAVING 100 * count(*) >= {percent} * (a.n + b.n - count(*))),
+reach(a, b) AS (SELECT c, c FROM class UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
+root AS (SELECT a AS c, min(b) AS root FROM reach GROUP BY a),
+rooted AS (SELECT sets.doc_id, len(sets.s) AS n, root FROM sets LEFT JOIN class USING (s) LEFT JOIN root USING (c)),
+least AS (SELECT root, min(doc_id) AS component_id FROM rooted WHERE root IS NOT NULL GROUP BY root)
+SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, CASE WHEN root IS NULL THEN doc_id ELSE component_id END AS component_id FROM rooted LEFT JOIN least USING (root)
+""".replace("{size}", str(jaccard_join.SHINGLE)).replace("{percent}", str(jaccard_join.PERCENT))
+
+
 def op7_pack_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), with_ids=False)
 
@@ -211,4 +228,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_pii": op10_pii,
 }
-ORACLE_SQL: dict[str, str] = {"op2_license_scan": _op2_sql(), "op10_pii": _op10_sql(), "op1_quality_rules": OP1_SQL, "op3_line_dedup": OP3_SQL, "op4_mix_curriculum": OP4_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_license_scan": _op2_sql(), "op10_pii": _op10_sql(), "op1_quality_rules": OP1_SQL, "op3_line_dedup": OP3_SQL, "op4_mix_curriculum": OP4_SQL, "op6_ngram_jaccard": OP6_SQL}

@@ -1,10 +1,12 @@
 import random
 import re
 
+import __spark_entry__
 import numpy as np
 import pytest
 from millrace.llm import jaccard_join as jj
 from millrace.llm import queries
+from tests.oracle import compare
 
 
 def shingle_set(t):
@@ -12,7 +14,7 @@ def shingle_set(t):
     return frozenset(tuple(w[i : i + 4]) for i in range(len(w) - 3)) if len(w) >= 4 else frozenset([tuple(w)] if w else [])
 
 
-def brute(docs):
+def brute(docs, percent=85):
     """docs: id -> text; id -> (n_shingles, component_id)."""
     sets = {d: shingle_set(t) for d, t in docs.items()}
     parent = {d: d for d in docs}
@@ -28,7 +30,7 @@ def brute(docs):
             by_shingle.setdefault(s, []).append(d)
     pairs = {(a, b) for ds in by_shingle.values() for i, a in enumerate(ds) for b in ds[i + 1 :]}
     for a, b in pairs:
-        if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+        if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
             ra, rb = root(a), root(b)
             parent[max(ra, rb)] = min(ra, rb)
     return {d: (len(sets[d]), root(d)) for d in docs}
@@ -62,9 +64,56 @@ def test_matches_brute_force(spark, seed):
 
 
 def test_large_keys_are_dealt_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(jj, "BLOCK", 20)
-    docs = corpus(3, 120)
-    assert found(spark, docs) == brute(docs)
+    """Blocks within cells, pivots beside them, and what is left over in blocks of its own."""
+    monkeypatch.setattr(jj, "BLOCK", 6)
+    monkeypatch.setattr(jj, "REST", 9)
+    monkeypatch.setattr(jj, "PIVOTS", 1)
+    for seed in (3, 5):
+        docs = corpus(seed, 120)
+        # unlike documents that share nearly all their shingles' rare ends: a cell without a large component
+        rng = random.Random(seed)
+        base = [f"c{i}" for i in range(60)]
+        for i in range(60):
+            w = list(base)
+            for _ in range(rng.choice([1, 2, 5, 6])):
+                w[rng.randrange(60)] = f"x{rng.randrange(10**6)}"
+            docs[3000 + i] = " ".join(w)
+        assert found(spark, docs) == brute(docs)
+
+
+def sent(spark, monkeypatch, rows):
+    """How many texts the joins of cells get."""
+    counts, real = [], jj._cell_links
+    monkeypatch.setattr(jj, "_cell_links", lambda df, percent: (counts.append(df.count()), real(df, percent))[1])
+    jj.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).count()
+    return sum(counts)
+
+
+def test_null_and_repeated_ids_cost_what_others_cost(spark, monkeypatch):
+    rng = random.Random(9)
+    texts = []
+    for _ in range(200):
+        w = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+        texts += [" ".join(w), " ".join(w[:-1])]
+    plain = sent(spark, monkeypatch, list(enumerate(texts)))
+    assert 400 <= plain <= 2000
+    assert sent(spark, monkeypatch, [(None, t) for t in texts]) <= 1.2 * plain
+    assert sent(spark, monkeypatch, [(7, t) for t in texts]) <= 1.2 * plain
+    assert sent(spark, monkeypatch, [(7, t) for t in texts] * 5) <= 1.2 * plain
+
+
+def test_near_copies_send_rows_in_proportion(spark, monkeypatch):
+    base = [f"w{i}" for i in range(200)]
+    near = lambda n: [(i, " ".join([*base[: i % 200], f"x{i}", *base[i % 200 + 1 :]])) for i in range(n)]
+    small, large = sent(spark, monkeypatch, near(800)), sent(spark, monkeypatch, near(3200))
+    assert large < 5 * small
+
+
+def test_other_thresholds(spark):
+    docs = corpus(6, 60)
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    for percent in (70, 95):
+        assert {r.doc_id: r.component_id for r in jj.jaccard_components(df, percent=percent).collect()} == {d: c for d, (_, c) in brute(docs, percent).items()}
 
 
 def test_forest_of_one_key():
@@ -110,6 +159,10 @@ def test_query(spark, sf_dir):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in queries.op6_ngram_jaccard(spark, sf_dir).collect()} == brute(texts)
 
 
+def test_query_matches_sql(spark, sf_dir):
+    assert compare(spark, __spark_entry__, "op6_ngram_jaccard", sf_dir) > 0
+
+
 def test_odd_tables(spark):
     assert jj.jaccard_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     docs = spark.createDataFrame([(None, "a b c d e", 1), (4, "a b c d e", 2), (4, "a b c d e", 3), (None, "x", 4), (6, "other text of its own", 5)], "doc_id long, text string, sid int")
