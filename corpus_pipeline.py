@@ -1,7 +1,15 @@
 """The corpus pipeline: quality rules, line dedup, n-gram Jaccard join, mixing, packing.
 
 Every stage takes (spark, docs, sf_dir) and works on all the documents that the one before has kept. All but the last return the
-columns of ``documents``; texts that change carry their new ``n_chars``.
+columns of ``documents``; texts that change carry their new ``n_chars``, and further columns, whatever their names, stay as they are.
+
+Odd rows, stage by stage: null and empty texts fail the quality rules and go there (given to a later stage directly, line dedup and the
+join keep them, the join one of each id; mixing never takes them; packing makes them one piece, id 0). A null source is a host and a source of
+its own, a null id a document like others. Repeated rows pass the first two stages alike, and the join keeps one of them; of rows that tie, the
+choice is by the other columns. Texts are read whole, whatever their length. An empty table gives an empty result.
+
+Mixing puts the documents in the order of the curriculum, and packing keeps that order: its ``position`` tells the place of a piece's document, which
+also tells apart the copies of a document that is taken more than once.
 """
 
 from __future__ import annotations
@@ -13,7 +21,7 @@ from millrace.tables import stored, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go; of the others, lines above the limit."""
+    """Rejected documents go; of the others, lines above the limits."""
     return quality.clean(docs)
 
 
@@ -23,7 +31,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, the one with the smallest id."""
+    """One row of each group stays, that with the smallest id."""
     return jaccard_join.one_of_each(docs)
 
 
@@ -33,8 +41,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row per piece, with its ids."""
-    return packing.pack(docs, with_ids=False)
+    """A row per piece, with its token ids, bucketed by length and within a bucket in the order of the documents."""
+    return packing.pack(packing.in_order(docs), place="place")
 
 
 STAGES = [("quality rules", quality_rules), ("line dedup", dedup_lines), ("n-gram Jaccard join", near_duplicates), ("mixing", mix), ("packing", pack)]
