@@ -69,18 +69,26 @@ def test_lines_shared_in_blocks_go(spark):
     assert {r.doc_id: r.lost_words for r in measured(spark, rows)} == want
 
 
-def brute_lost(docs, max_docs=50, min_shared=8, max_share=0.1):
-    """docs: (id, text, host); id -> words in lines above the limits, from the definition."""
-    norm = {i: [re.sub("[0-9]+", "0", " ".join(re.findall(W, x.lower()))) for x in (t or "").split("\n")] for i, t, _ in docs}
+def normal(line):
+    return re.sub("[0-9]+", "0", " ".join(re.findall(W, line.lower())))
+
+
+def brute_often(docs, max_docs=50, min_shared=8, max_share=0.1):
+    """docs: (id, text, host); the (host, line) above the limits, from the definition."""
     seen, of_host = collections.defaultdict(set), collections.defaultdict(set)
-    for i, _, h in docs:
-        whole = tuple(x for x in norm[i] if x)
+    for _, t, h in docs:
+        whole = tuple(x for x in map(normal, (t or "").split("\n")) if x)
         if whole:
             of_host[h].add(whole)
         for x in whole:
             seen[h, x].add(whole)
-    often = {k for k, s in seen.items() if len(s) > max_docs or len(s) >= min_shared and len(s) > max_share * len(of_host[k[0]])}
-    return {i: sum(len(x.split(" ")) for x in norm[i] if x and (h, x) in often) for i, _, h in docs}
+    return {k for k, s in seen.items() if len(s) > max_docs or len(s) >= min_shared and len(s) > max_share * len(of_host[k[0]])}
+
+
+def brute_lost(docs):
+    """id -> words in lines above the limits."""
+    often = brute_often(docs)
+    return {i: sum(len(x.split(" ")) for x in map(normal, (t or "").split("\n")) if x and (h, x) in often) for i, t, h in docs}
 
 
 def test_verdicts_match_brute_force(spark):
