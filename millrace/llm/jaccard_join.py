@@ -43,7 +43,7 @@ CELLS = 1 << 24
 _CHUNK = 1 << 14
 LEAF = 32
 FANOUT = 8
-BLOCK = 256
+BLOCK = 160
 BLOCK_SHINGLES = 1 << 21
 PIVOTS = 4
 #: blocks are larger where the rest of a cell meets them
