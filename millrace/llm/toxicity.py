@@ -1,19 +1,24 @@
 """Toxicity of restored text: Viterbi decoding of disguised words under a character language model, then a linear score.
 
-1. The character language model counts letter trigrams of all documents (27 letters and a boundary, so its size is fixed).
-2. A token that only has letters, none three times in a row, has one reading. Others become a lattice: a look-alike reads as a letter
-   or as noise, an inner separator is dropped, a run of one letter is one or two of it; single letters with separators between
-   them are one token. Viterbi finds the reading with the best sum of channel and language model scores.
-3. At most ``MAX_TRAIN`` labelled rows (those with the smallest hashes of their ids; none that is held out) give a logistic
-   regression on the presence of the ``FEATURES`` restored words that tell the classes apart best. Scores use the text only.
+1. The character language model counts letter trigrams of all documents (26 letters, one code for all other letters, and a boundary,
+   so its size is fixed); counts are summed by trigram.
+2. Every token is a lattice: a look-alike reads as a letter or as noise, an inner separator is dropped, a run of one letter is one
+   or two of it. Single characters with separators between them are one lattice, in which a separator may also be a break between
+   words. Viterbi finds the reading with the best sum of channel and language model scores. A token whose lattice has one path only, that of
+   letters without a doubled one, is its own reading. Readings are kept while they fit.
+3. At most ``MAX_TRAIN`` labelled ids (those with the smallest hashes; none that is held out), and of each the text with the smallest
+   hash, give a logistic regression on the presence of ``FEATURES`` words, those that tell the classes apart best among
+   those of ``MIN_DOCS`` training texts or more. A text's words are its tokens' readings, and the tokens of letters themselves.
+   The number of features is the size of the model, as its bound of rows is; scores use the text only.
 
 Defined results: null and empty texts get the score of a text without words; an id that is null counts as held out; no usable
-labels, or one class only, give everyone the share of that class; repeated rows are scored alike; an empty table gives
-an empty result. Whole texts are read; one Arrow batch and one text's tokens are in memory at a time.
+labels, or one class only, give everyone the share of that class; repeated rows are scored alike, rows of one id with unlike texts
+by their texts; an empty table gives an empty result; other columns are ignored. Whole texts are read; one Arrow batch and one text's tokens are in memory at a time.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 
@@ -21,6 +26,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.tables import stored
+
 MAX_TRAIN = 10_000
 FEATURES = 200
 MIN_DOCS = 4
@@ -31,9 +38,12 @@ NOISE = frozenset("*#%&~^.,-_'\"`:;/\\=<>)[]{}? ")
 #: what the channel takes for a look-alike read as a letter, for one dropped, for noise dropped, for a letter repeated, for one doubled
 COST_LOOK, COST_DROP, COST_NOISE, COST_RUN, COST_TWO = 0.7, 3.0, 0.3, 0.5, 1.0
 _SYMBOLS = 28  # boundary, a to z, any other letter
+COST_BREAK, COST_PAIR = 1.0, 3.0  # for a separator taken as a break between words; for a doubled letter read as one
+_SYMBOLS = 28  # boundary, a to z, any other letter
 _EDGE = re.compile(r"^[^\w@$!+|(€£¡]+|(?:[^\w@$+|(€£¡]|([@$+|(€£¡])\1+)+$")
-_RUN = re.compile(r"(.)\1\1")
-_SPACED = re.compile(r"(?<!\S)(?:[^\W_][ ._*-]{1,2}){3,}[^\W_](?!\S)")
+_DOUBLE = re.compile(r"(.)\1")
+_LOOK = re.escape("".join(LOOKS))
+_SPACED = re.compile(rf"(?<!\S)(?:[^\W_]|[{_LOOK}])(?:[ ._*-]{{1,2}}(?:[^\W_]|[{_LOOK}])(?![^\W_])){{2,}}(?!\S)")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -42,44 +52,42 @@ def held_out(doc_id: Column) -> Column:
 
 # --- the character language model
 
-_CODE = np.zeros(256, np.int64)
-for _c in range(26):
-    _CODE[ord("a") + _c] = _CODE[ord("A") + _c] = _c + 1
-_CODE[128:] = 27
-
-
 def _code(c: str) -> int:
+    c = c.lower()
     return ord(c) - 96 if "a" <= c <= "z" else 27 if c.isalpha() else 0
 
 
+@functools.cache
+def _codes() -> np.ndarray:
+    """The code of every character."""
+    out = np.zeros(0x110000, np.int8)
+    out[[i for i in range(0x110000) if chr(i).isalpha()]] = 27
+    for i in range(26):
+        out[ord("a") + i] = out[ord("A") + i] = i + 1
+    return out
+
+
 def _counts(batches):
     import pyarrow as pa
 
     total = np.zeros(_SYMBOLS**3, np.int64)
     for batch in batches:
         for x in batch.column(0):
-            raw = x.as_py() or b""
-            c = np.concatenate([[0, 0], _CODE[np.frombuffer(raw, np.uint8)], [0]])
+            text = x.as_py()
+            c = np.concatenate([[0, 0], _codes()[np.frombuffer(text.encode("utf-32-le", "replace"), "<u4")].astype(np.int64), [0]])
             k = c[:-2] * _SYMBOLS**2 + c[1:-1] * _SYMBOLS + c[2:]
             total += np.bincount(k[(c[1:-1] > 0) | (c[2:] > 0)], minlength=_SYMBOLS**3)
-    yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["counts"])
-
-
-def _total(batches):
-    import pyarrow as pa
-
-    total = np.zeros(_SYMBOLS**3, np.int64)
-    for batch in batches:
-        for x in batch.column(0):
-            total += np.frombuffer(x.as_py(), np.int64)
-    yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["counts"])
+    held = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), pa.array(total[held], pa.int64())], names=["code", "n"])
 
 
 def language_model(docs: DataFrame, text: str = "text") -> np.ndarray:
     """log P(third | first two) of letter codes, from all documents; a fixed size."""
-    parts = docs.select(F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t")).mapInArrow(_counts, "counts binary")
-    sums = parts.repartition(32).mapInArrow(_total, "counts binary").coalesce(1).mapInArrow(_total, "counts binary").collect()
-    counts = sum((np.frombuffer(bytes(r.counts), np.int64) for r in sums), np.zeros(_SYMBOLS**3, np.int64)).reshape(_SYMBOLS, _SYMBOLS, _SYMBOLS)
+    parts = docs.select(F.coalesce(F.col(text), F.lit("")).alias("t")).mapInArrow(_counts, "code int, n long")
+    counts = np.zeros(_SYMBOLS**3)
+    for r in parts.groupBy("code").agg(F.sum("n").alias("n")).collect():  # a row per trigram at most
+        counts[r.code] = r.n
+    counts = counts.reshape(_SYMBOLS, _SYMBOLS, _SYMBOLS)
     two = counts.sum(axis=0, keepdims=True) + 0.5  # backed off to pairs
     pair = two / two.sum(axis=2, keepdims=True)
     return np.log((counts + 5.0 * pair) / (counts.sum(axis=2, keepdims=True) + 5.0))
@@ -88,8 +96,8 @@ def language_model(docs: DataFrame, text: str = "text") -> np.ndarray:
 # --- decoding
 
 
-def lattice(token: str) -> list[list[tuple[str, float]]]:
-    """For each stretch of a token its readings and what they cost."""
+def lattice(token: str, spaced: bool = False) -> list[list[tuple[str, float]]]:
+    """For each stretch of a token its readings and what they cost; in a spaced one a separator may be a break, read as a blank."""
     out, i = [], 0
     while i < len(token):
         c = token[i]
@@ -98,19 +106,19 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
             j += 1
         n = j - i
         if c.isalpha():
-            out.append([(c, 0.0)] if n == 1 else [(c + c, 0.0 if n == 2 else COST_RUN + COST_TWO), (c, COST_RUN)])
+            out.append([(c, 0.0)] if n == 1 else [(c + c, 0.0 if n == 2 else COST_RUN + COST_TWO), (c, COST_PAIR if n == 2 else COST_RUN)])
         elif c in LOOKS:
             out.append([(x * k, COST_LOOK + (k > 1) * COST_TWO + (n > 2) * COST_RUN) for x in LOOKS[c] for k in (1, 2) if k <= n] + [("", COST_DROP if n == 1 else COST_NOISE * 2)])
         else:
-            out.append([("", COST_NOISE if c in NOISE else COST_DROP)])
+            out.append([("", COST_NOISE if c in NOISE else COST_DROP)] + ([(" ", COST_BREAK)] if spaced else []))
         i = j
     return out
 
 
-def decode(token: str, model: list) -> str:
+def decode(token: str, model: list, spaced: bool = False) -> str:
     """The best reading of a lower-case token. model: nested lists of log probabilities."""
     best = {(0, 0): (0.0, "")}
-    for readings in lattice(token):
+    for readings in lattice(token, spaced):
         then: dict[tuple[int, int], tuple[float, str]] = {}
         for (a, b), (score, read) in best.items():
             for letters, cost in readings:
@@ -118,7 +126,7 @@ def decode(token: str, model: list) -> str:
                 for c in letters:
                     z = _code(c)
                     s += model[x][y][z]
-                    x, y = y, z
+                    x, y = (0, 0) if z == 0 else (y, z)  # a word begins as every token does
                 if (x, y) not in then or s > then[x, y][0]:
                     then[x, y] = (s, read + letters)
         best = then
@@ -138,7 +146,7 @@ class Restored(dict):
         if len(self) >= self.MOST:
             self.clear()
         core = token if token.isalpha() else _EDGE.sub("", token)
-        if not core.isalpha() or _RUN.search(core):
+        if not core.isalpha() or _DOUBLE.search(core):  # else there is one path
             core = decode(core, self.model) if any(c.isalpha() for c in core) and not core.isdigit() else ""
         self[token] = core
         return core
@@ -146,9 +154,14 @@ class Restored(dict):
 
 def restored_words(text: str, known: Restored) -> set[str]:
     low = text.lower()
-    found = set(map(known.__getitem__, set(low.split())))
+    found = set()
+    for token in set(low.split()):
+        found.add(known[token])
+        core = _EDGE.sub("", token)
+        if core.isalpha():
+            found.add(core)
     for m in _SPACED.finditer(low):
-        found.add(known[re.sub(r"[ ._*-]", "", m[0])])
+        found.update(decode(m[0], known.model, True).split())
     found.discard("")
     return found
 
@@ -169,8 +182,9 @@ def train(docs: DataFrame, labels: DataFrame, model: np.ndarray, doc_id: str = "
             found = [sorted(restored_words(x.as_py(), known)) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.string()))], names=["y", "words"])
 
-    texts = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t")).join(F.broadcast(sample), "id").select(F.col("y").cast("int").alias("y"), "t")
-    per = texts.mapInArrow(words, "y int, words array<string>")
+    texts = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t")).join(F.broadcast(sample), "id")
+    texts = texts.groupBy("id").agg(F.first("y").cast("int").alias("y"), F.min(F.struct(F.xxhash64("t").alias("h"), "t"))["t"].alias("t")).select("y", "t")
+    per = stored(texts.mapInArrow(words, "y int, words array<string>"), "words")  # a row per labelled id; read thrice
     # first the words that tell the classes apart, counted on the executors, then the rows of the sample in these words
     n = {r.y: r.n for r in per.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     n1, n0 = n.get(1, 0), n.get(0, 0)
@@ -179,8 +193,8 @@ def train(docs: DataFrame, labels: DataFrame, model: np.ndarray, doc_id: str = "
     df = per.select("y", F.explode("words").alias("w")).groupBy("w").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b")).where(F.col("a") + F.col("b") >= MIN_DOCS)
     share = (F.col("a") + F.col("b")) / float(n1 + n0)
     z = (F.col("a") / float(n1) - F.col("b") / float(n0)) / F.sqrt(share * (1 - share + 1e-9) * (1.0 / n1 + 1.0 / n0))
-    chosen = [r.w for r in df.select("w", F.abs(z).alias("z")).orderBy(F.col("z").desc(), "w").limit(FEATURES).collect()]
-    rows = per.select("y", F.array_intersect("words", F.array(*map(F.lit, chosen))).alias("words")).collect()
+    chosen = [r.w for r in df.select("w", F.abs(z).alias("z")).orderBy(F.round("z", 9).desc(), "w").limit(FEATURES).collect()]
+    rows = per.select("y", F.array_intersect("words", F.array(*map(F.lit, chosen)).cast("array<string>")).alias("words")).collect()  # a row per labelled id
     index = {w: i for i, w in enumerate(chosen)}
     x, y = np.zeros((len(rows), len(chosen) + 1), np.float32), np.array([r.y for r in rows], np.float64)
     x[:, -1] = 1
