@@ -49,6 +49,24 @@ def test_own_kinds_and_score(spark):
     assert all(0 <= s.score <= 1 for r in rows for s in r.spans)
     near = pii.find_pii(spark.createDataFrame([(1, "call +1 (017) 555-7713"), (2, "sample +1 (017) 555-7713")], "doc_id long, text string")).collect()
     assert near[0].spans[0].score > near[1].spans[0].score
+    iban = "GB82 WEST 1234 5698 7654 32"
+    texts = [f"our bank {iban}", f"an example: {iban}", f"an example account {iban}", iban, f"{iban} " + "x" * 60 + " example"]
+    got = {r.doc_id: len(r.spans) for r in pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {0: 1, 1: 0, 2: 1, 3: 1, 4: 1}
+
+
+def test_many_matches_in_one_text(spark):
+    """Positions stay right, and the time grows with the matches, not with their square."""
+    import time
+
+    took = []
+    for n in (2_000, 40_000):
+        text = " é ".join(f"a{i}@b.cc 10.0.{i % 300}.1" for i in range(n))
+        began = time.time()
+        (r,) = pii.find_pii(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+        took.append(time.time() - began)
+        assert [f"{s.kind}:{s.start}:{s.end}" for s in r.spans if s.kind in pii.BASE] == brute(text)
+    assert took[1] < 60
 
 
 def test_query_and_odd_tables(spark, sf_dir, tmp_path):
