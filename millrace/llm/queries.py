@@ -63,12 +63,13 @@ token AS (SELECT r, i - 1 AS i, words[i] AS w FROM d, unnest(range(1, len(words)
 base AS (SELECT r, i, label FROM token JOIN d USING (r) JOIN phrase ON w = ws[1] AND words[i + 1:i + len(ws)] = ws),
 bases AS (SELECT r, count(*) AS n, min(i) AS first_word, max(i) AS last_word, list(DISTINCT label) AS labels FROM base GROUP BY r),
 df AS (SELECT w, count(DISTINCT r) AS n FROM token SEMI JOIN post USING (w) GROUP BY w),
-rare AS (SELECT r, w FROM (SELECT r, w, row_number() OVER (PARTITION BY r ORDER BY n, w) AS k FROM (SELECT DISTINCT r, w FROM token) JOIN df USING (w)) WHERE k <= {license_scan.RARE}),
-asked AS (SELECT r, t, count(*) AS n FROM rare JOIN post USING (w) GROUP BY r, t),
-votes AS (SELECT r, t, i - p AS start, count(*) AS n FROM token JOIN rare USING (r, w) JOIN post USING (w) GROUP BY ALL),
+rare AS (SELECT t, w FROM (SELECT t, w, row_number() OVER (PARTITION BY t ORDER BY coalesce(n, 0), w) AS k FROM (SELECT DISTINCT t, w FROM post) LEFT JOIN df USING (w)) WHERE k <= {license_scan.RARE}),
+own AS (SELECT t, p, w FROM post JOIN rare USING (t, w)),
+asked AS (SELECT t, count(*) AS n FROM own GROUP BY t),
+votes AS (SELECT r, t, i - p AS start, count(*) AS n FROM token JOIN own USING (w) GROUP BY ALL),
 best AS (SELECT r, t, max(n) AS n FROM votes GROUP BY r, t),
-match AS (SELECT r, label, least(1.0, CAST(best.n AS DOUBLE) / asked.n) AS share FROM best JOIN asked USING (r, t) JOIN template USING (t) JOIN d USING (r)
-          WHERE best.n >= {license_scan.MIN_SHARE} * asked.n AND len(list_filter(keys, lambda k: contains(' ' || array_to_string(words, ' ') || ' ', ' ' || k || ' '))) = len(keys)),
+match AS (SELECT r, label, CAST(best.n AS DOUBLE) / asked.n AS share FROM best JOIN asked USING (t) JOIN template USING (t) JOIN d USING (r)
+          WHERE CAST(best.n AS DOUBLE) / asked.n >= {license_scan.MIN_SHARE} AND len(list_filter(keys, lambda k: contains(' ' || array_to_string(words, ' ') || ' ', ' ' || k || ' '))) = len(keys)),
 matches AS (SELECT r, max(share) AS share, list(DISTINCT label) AS labels FROM match GROUP BY r)
 SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(bases.n, 0) AS n_base, first_word, last_word, coalesce(array_to_string(list_sort(bases.labels), ','), '') AS base_labels,
        coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(bases.labels, []), coalesce(matches.labels, [])))), ','), '') AS labels,
