@@ -14,8 +14,8 @@ def split_trimmed(c: Column, pattern: str) -> Column:
 
 
 def full_match(c: Column, pattern: str) -> Column:
-    """Whether the whole text matches."""
-    return c.rlike(f"^(?:{pattern})$")
+    """Whether the whole text matches, a line break at its end included."""
+    return c.rlike(rf"\A(?:{pattern})\z")
 
 
 def prefix(c: Column, n: int) -> Column:

@@ -14,7 +14,8 @@ from typing import TYPE_CHECKING, Any
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from millrace.operators.reducers import Reducer, reduced
+from millrace.operators.aggregate import Aggregator, aggregate_all, reducing
+from millrace.operators.reducers import Reducer, folded, reduced
 from millrace.tables import stored
 
 if TYPE_CHECKING:
@@ -108,22 +109,41 @@ class Flow:
 
     # --- aggregation
 
-    def reduce(self, how: Reducer | None = None, value: Expr | None = None, /, **named: tuple[Reducer, Expr]) -> Flow:
-        """One row: ``reduce("sum", "x")`` gives ``value``, or ``reduce(total=("sum", "x"), most=("max", "x"))``."""
+    def reduce(self, how: Reducer | None = None, value: Expr | None = None, /, **named: tuple[str, Expr]) -> Flow:
+        """One row: ``reduce("sum", "x")`` gives ``value``, or ``reduce(total=("sum", "x"), most=("max", "x"))``.
+
+        ``how`` may be an associative, commutative Python function of two values, combined inside partitions first; nulls are passed over.
+        """
+        if callable(how):
+            df = self.df.select(self._c(value).alias("v"))
+            return Flow(aggregate_all(df, reducing(how), df.schema["v"].dataType.simpleString()))
         if how is not None:
             named = {"value": (how, value)} | named
         return Flow(self.df.agg(*[reduced(self._c(v), h).alias(n) for n, (h, v) in named.items()]))
 
     def fold(self, zero: Any, how: Reducer, value: Expr, name: str = "value") -> Flow:
-        """One row: the reduction combined with ``zero``, which an empty Flow gives alone."""
+        """One row: the reduction combined with ``zero``, which stands first and which an empty Flow gives alone."""
         if callable(how):
-            return Flow(self.df.agg(reduced(self._c(value), how, F.lit(zero)).alias(name)))
-        total = F.coalesce(reduced(self._c(value), how), F.lit(zero))
-        both = {"sum": lambda: F.coalesce(reduced(self._c(value), how), F.lit(0)) + F.lit(zero), "max": lambda: F.greatest(total, F.lit(zero)), "min": lambda: F.least(total, F.lit(zero)), "product": lambda: F.coalesce(reduced(self._c(value), how), F.lit(1)) * F.lit(zero)}
-        return Flow(self.df.agg(both.get(how, lambda: total)().alias(name)))
+            df = self.df.select(self._c(value).alias("v"))
+            return Flow(aggregate_all(df, reducing(how, lambda s: how(zero, s[0]) if s else zero), df.schema["v"].dataType.simpleString(), name))
+        return Flow(self.df.agg(folded(self._c(value), how, F.lit(zero)).alias(name)))
 
     fold_left = fold
 
+    def fold_right(self, zero: Any, how: Callable[[Any, Any], Any], value: Expr, name: str = "value") -> Flow:
+        """The same with ``zero`` last: ``how(reduction, zero)``."""
+        df = self.df.select(self._c(value).alias("v"))
+        return Flow(aggregate_all(df, reducing(how, lambda s: how(s[0], zero) if s else zero), df.schema["v"].dataType.simpleString(), name))
+
+    def aggregate(self, agg: Aggregator, value: Expr, kind: str, name: str = "value") -> Flow:
+        """One row: a user's aggregator over a value, of the type ``kind``."""
+        return Flow(aggregate_all(self.df.select(self._c(value).alias("v")), agg, kind, name))
+
+    def cube(self, keys: Sequence[str], form: str = "cube", /, **named: tuple[str, Expr]) -> Flow:
+        """Named reductions for all sets of the keys or, with form ``rollup``, for their prefixes (an extension)."""
+        grouped = self.df.rollup(*keys) if form == "rollup" else self.df.cube(*keys)
+        return Flow(grouped.agg(*[reduced(self._c(v), h).alias(n) for n, (h, v) in named.items()]))
+
     def count(self) -> Flow:
         """One row with one long."""
         return Flow(self.df.agg(F.count(F.lit(1)).alias("n")))
@@ -158,28 +178,35 @@ class Flow:
 
     sorted = sort_by
 
-    def sort_with(self, compare: Callable[[Row, Row], int]) -> Flow:
+    def sort_with(self, compare: Callable[[Row, Row], int], sample: int = 20_000) -> Flow:
         """An order that only a Python function knows; rows leave the JVM for it.
 
-        A sample of rows (some hundreds a partition at most) is compared on the driver to choose ranges; rows are dealt to the
-        ranges and sorted there.
+        At most ``sample`` rows, whatever the table's size, are compared on the driver to choose ranges; rows are dealt to the ranges and
+        sorted there. Rows equal to several bounds are dealt over all the ranges between these.
         """
         from functools import cmp_to_key
 
         rdd, key = self.df.rdd, cmp_to_key(compare)
-        n = rdd.getNumPartitions()
-        picked = sorted(self.df.sample(False, min(1.0, 100.0 * n / max(1, self.df.count())), 42).limit(200 * n).collect(), key=key)
+        n = max(1, min(rdd.getNumPartitions(), sample // 20))
+        share = min(1.0, 1.2 * sample / max(1, self.df.count()))
+        picked = sorted(self.df.sample(False, share, 42).limit(sample).collect(), key=key)
         bounds = [picked[len(picked) * i // n] for i in range(1, n)] if picked else []
 
-        def place(row: Row) -> int:
+        def first(row: Row, more: int) -> int:
+            """The first bound that is not below the row, or (more = 1) that is above it."""
             lo, hi = 0, len(bounds)
             while lo < hi:
                 mid = (lo + hi) // 2
-                lo, hi = (mid + 1, hi) if compare(bounds[mid], row) <= 0 else (lo, mid)
+                lo, hi = (mid + 1, hi) if compare(bounds[mid], row) < more else (lo, mid)
             return lo
 
-        dealt = rdd.map(lambda r: (place(r), r)).partitionBy(n, lambda i: i)
-        return self._of(self.df.sparkSession.createDataFrame(dealt.mapPartitions(lambda it: iter(sorted((r for _, r in it), key=cmp_to_key(compare)))), self.df.schema))
+        def dealt(rows: Iterator[Row]) -> Iterator[tuple[int, Row]]:
+            for k, row in enumerate(rows):
+                lo, hi = first(row, 0), first(row, 1)
+                yield lo + k % (hi - lo + 1), row
+
+        parts = rdd.mapPartitions(dealt).partitionBy(n, lambda i: i)
+        return self._of(self.df.sparkSession.createDataFrame(parts.mapPartitions(lambda it: iter(sorted((r for _, r in it), key=cmp_to_key(compare)))), self.df.schema))
 
     def top(self, k: int, *keys: Expr) -> Flow:
         """The k greatest rows, greatest first; each partition gives k at most."""

@@ -1,7 +1,6 @@
-"""Reducers by name, lowered to built-in aggregates, and associative functions over columns.
+"""Reducers by name, lowered to built-in aggregates that Spark combines on the map side, and folds of arrays.
 
-A named reducer is combined on the map side by Spark. A function ``f(a, b)`` of two columns is folded over the collected values of
-a group: right for any associative f, but the group's values meet in one task, so the named ones come first.
+Opaque functions of two values are reduced by ``operators.aggregate``; here a function of two columns folds an array that stands in one row.
 """
 
 from __future__ import annotations
@@ -11,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-Reducer = str | Callable[[Column, Column], Column]
+Reducer = str | Callable
 
 NAMED: dict[str, Callable[[Column], Column]] = {
     "sum": F.sum,
@@ -40,15 +39,40 @@ def fold_values(values: Column, f: Callable[[Column, Column], Column], zero: Col
     return F.when(F.size(values) > 0, F.aggregate(F.slice(values, F.lit(2), F.greatest(F.size(values) - 1, F.lit(0))), F.element_at(values, 1), f))
 
 
-def reduced(value: Column, how: Reducer, zero: Column | None = None) -> Column:
-    """The aggregate that ``how`` names, or the fold of a function."""
+#: named reducers as functions of two columns, and what they give for no values (null where there is no such value)
+BOTH: dict[str, tuple[Callable[[Column, Column], Column], object]] = {
+    "sum": (lambda a, b: a + b, 0),
+    "product": (lambda a, b: a * b, 1),
+    "min": (lambda a, b: F.least(a, b), None),
+    "max": (lambda a, b: F.greatest(a, b), None),
+    "count": (lambda a, b: a + b, 0),
+    "bool_and": (lambda a, b: a & b, True),
+    "bool_or": (lambda a, b: a | b, False),
+    "bit_and": (lambda a, b: a.bitwiseAND(b), -1),
+    "bit_or": (lambda a, b: a.bitwiseOR(b), 0),
+    "bit_xor": (lambda a, b: a.bitwiseXOR(b), 0),
+    "concat": (lambda a, b: F.concat(a, b), ""),
+}
+
+
+def reduced(value: Column, how: str) -> Column:
+    """The aggregate that ``how`` names."""
     if callable(how):
-        return fold_values(F.collect_list(value), how, zero)
+        raise ValueError("functions are reduced by themselves: reduce, fold, reduce_by_key, fold_by_key or aggregate")
     if how not in NAMED:
         raise ValueError(f"no reducer {how!r}; there are {', '.join(sorted(NAMED))}")
     return NAMED[how](value)
 
 
+def folded(value: Column, how: str, zero: Column) -> Column:
+    """The aggregate combined with ``zero``, which stands first."""
+    if how not in BOTH:
+        raise ValueError(f"{how!r} can't be combined with a zero; {', '.join(sorted(BOTH))} can")
+    both, _ = BOTH[how]
+    total = reduced(value, how)
+    return F.when(total.isNull(), zero).otherwise(both(zero, total))
+
+
 def reduce_array(values: Column, how: Reducer) -> Column:
     """The same over an array in one row."""
     if callable(how):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -48,6 +49,11 @@ class Pipeline:
         return trace(self.frame(spark))
 
 
+def _version(v: str) -> list[tuple]:
+    """Numbers by their value, and after other parts: 9 before 10, 2.0-rc1 before 2.0.1."""
+    return [(1, int(p), "") if p.isdigit() else (0, 0, p) for p in re.findall(r"\d+|[^\d.]+", v)]
+
+
 class Registry:
     """Pipelines by name and version; the newest version is the default."""
 
@@ -58,10 +64,11 @@ class Registry:
         self._held[p.name, p.version] = p
 
     def get(self, name: str, version: str | None = None) -> Pipeline:
-        versions = sorted(v for n, v in self._held if n == name)
+        versions = self.versions(name)
         if not versions:
             raise KeyError(name)
         return self._held[name, version or versions[-1]]
 
     def versions(self, name: str) -> list[str]:
-        return sorted(v for n, v in self._held if n == name)
+        """Oldest first."""
+        return sorted((v for n, v in self._held if n == name), key=_version)

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from millrace.operators.flow import Flow
 
@@ -50,7 +51,7 @@ def from_url(spark: SparkSession, paths: str | list[str], parse: Callable[[bytes
                 if rows:
                     yield pd.DataFrame(rows, columns=names)
 
-    names = [f.split()[0] for f in schema.split(",")]
+    names = StructType.fromDDL(schema).names
     return Flow(df.select("content").mapInPandas(run, schema))
 
 
@@ -85,11 +86,19 @@ def horizontal(spark: SparkSession, schema: str, *parts: Sequence) -> Flow:
     return Flow(df)
 
 
+def vertical(*flows: Flow) -> Flow:
+    """Tables side by side, row by row in their order: columns of the first, then of the next; the shortest ends it. Names must differ."""
+    df = flows[0].zip_with_index(name="__at").df
+    for more in flows[1:]:
+        df = df.join(more.zip_with_index(name="__at").df, "__at")
+    return Flow(df.drop("__at"))
+
+
 # --- sinks
 
 
 def write(flow: Flow | DataFrame, path: str, form: str = "parquet", mode: str = "error", by: Sequence[str] = (), **options) -> None:
-    """form: parquet, json, csv, text or orc."""
+    """form: parquet, json, csv, text or orc; ``compression`` among the options names the codec."""
     w = (flow.df if isinstance(flow, Flow) else flow).write.mode(mode).options(**options)
     (w.partitionBy(*by) if by else w).format(form).save(path)
 

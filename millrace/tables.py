@@ -29,8 +29,29 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:
-    """``df`` written as a table in the shared folder and read again: lineage ends there and lost executors cost nothing."""
+    """``df`` written as a table in the shared folder and read again: lineage ends there and lost executors cost nothing.
+
+    The table goes when the driver ends, or when ``release`` is called.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/millrace-{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _file_system(spark, path).deleteOnExit(spark._jvm.org.apache.hadoop.fs.Path(path))
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_written: list[str] = []
+
+
+def _file_system(spark: SparkSession, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes the tables that ``stored`` has written so far; DataFrames that read them can't be used any more. How many there were."""
+    n = len(_written)
+    while _written:
+        path = _written.pop()
+        _file_system(spark, path).delete(spark._jvm.org.apache.hadoop.fs.Path(path), True)
+    return n

@@ -185,6 +185,9 @@ def test_loops(spark):
     assert iterate.repeat(5, 1, lambda x: x * 2) == 32
     assert iterate.repeat_while(1, lambda x: x < 100, lambda x: x * 3) == 243
     assert iterate.tail_recursive(0, lambda x: (x >= 4, x + 1)) == 5
+    assert iterate.repeat_while(0, lambda x: x < 5000, lambda x: x + 1) == 5000
+    with pytest.raises(RuntimeError):
+        iterate.repeat_while(0, lambda x: True, lambda x: x + 1, most=10)
     out = iterate.repeat_table(3, spark.range(3).toDF("x"), lambda d: d.selectExpr("x + 1 AS x"))
     assert sorted(r.x for r in out.collect()) == [3, 4, 5] and "FileScan" in plans(out).physical
 
@@ -263,6 +266,11 @@ def test_pipeline(spark, tmp_path):
     r.submit(p)
     r.submit(Pipeline("double", "2", p.source))
     assert r.get("double", "1").run(spark).count() == 10 and spark.read.parquet(str(tmp_path / "out")).agg({"x": "sum"}).collect()[0][0] == 90
+    for v in ("10", "9"):
+        q = Registry()
+        for w in ("9", "10", "2.1"):
+            q.submit(Pipeline("x", w, p.source))
+        assert q.get("x").version == "10" and q.versions("x") == ["2.1", "9", "10"], v
     assert r.versions("double") == ["1", "2"] and r.get("double").version == "2" and p.trace(spark).rows == 10
     with pytest.raises(KeyError):
         r.get("none")
@@ -278,3 +286,83 @@ def test_stream_equals_batch(spark, sf_dir, tmp_path):
     q.stop()
     got = {(r.start, r.event_type): r.n for r in spark.sql("SELECT start, event_type, max(n) AS n FROM hours GROUP BY ALL").collect()}
     assert got == {(r.start, r.event_type): r.n for r in windows.tumbling(kept).collect()}
+
+
+def test_functions_are_combined_inside_partitions(spark):
+    rows = [(i % 3 if i % 7 else None, float(i) if i % 5 else None) for i in range(1000)]
+    df = spark.createDataFrame(rows, "k int, v double").repartition(6)
+    keyed = Flow(df).key_by("k", "v")
+    got = {r.k: r.v for r in keyed.reduce_by_key(lambda a, b: a + b).df.collect()}
+    want = {k: sum(v or 0 for q, v in rows if q == k) for k in (0, 1, 2, None)}
+    assert got == want
+    plan = keyed.reduce_by_key(max).df._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and plan.count("MapInArrow") == 2
+    assert {r.k: r.v for r in keyed.fold_by_key(1000.0, lambda a, b: a + b).df.collect()} == {k: v + 1000 for k, v in want.items()}
+    assert Flow(df).reduce(max, "v").df.collect()[0].value == 999 and Flow(df.limit(0)).reduce(max, "v").df.collect()[0].value is None
+    structs = spark.createDataFrame([((1, "a"), 1), ((1, "a"), 2), ((2, None), 3)], "k struct<x:int,y:string>, v int")
+    assert sorted((r.k.x, r.v) for r in Flow(structs).key_by("k", "v").reduce_by_key(lambda a, b: a * 10 + b if a < b else b * 10 + a).df.collect()) == [(1, 12), (2, 3)]
+    nan = spark.createDataFrame([(float("nan"), 1), (float("nan"), 2)], "k double, v int").repartition(2)
+    assert [r.v for r in Flow(nan).key_by("k", "v").reduce_by_key(lambda a, b: a + b).df.collect()] == [3]
+
+
+def test_many_keys_pass_on(spark, monkeypatch):
+    from millrace.operators import aggregate
+
+    df = spark.range(5000).selectExpr("id % 1000 AS k", "id AS v")
+    run = aggregate._states(aggregate.reducing(lambda a, b: a + b))
+    import pyarrow as pa
+
+    monkeypatch.setattr(aggregate, "MAX_KEYS", 100)
+    batches = [pa.RecordBatch.from_pylist([{"k": i % 300, "v": i} for i in range(j, j + 500)]) for j in range(0, 2000, 500)]
+    assert len(list(run(iter(batches)))) > 1
+    assert Flow(df).key_by("k", "v").reduce_by_key(lambda a, b: a + b).df.agg({"v": "sum"}).collect()[0][0] == sum(range(5000))
+
+
+def test_zero_of_every_named_fold(spark):
+    f = Flow(spark.createDataFrame([(3, True, "b"), (5, True, "a")], "x int, b boolean, s string"))
+    one = lambda zero, how, c, g=f: g.fold(zero, how, c).df.collect()[0].value
+    assert (one(100, "count", "x"), one(False, "bool_and", "b"), one(True, "bool_or", "b"), one(10, "sum", "x"), one(2, "product", "x"), one(9, "max", "x"), one(1, "min", "x")) == (102, False, True, 18, 30, 9, 1)
+    assert (one(8, "bit_or", "x"), one(1, "bit_and", "x"), one(1, "bit_xor", "x"), one("z", "concat", "s")) == (15, 1, 7, "zab")
+    none = Flow(f.df.limit(0))
+    assert (one(4, "max", "x", none), one(4, "count", "x", none), one("z", "concat", "s", none)) == (4, 4, "z")
+    with pytest.raises(ValueError):
+        f.fold(0, "first", "x")
+    assert f.fold(100, lambda a, b: a - b, "x").df.collect()[0].value in (98, 102) and none.fold(7, max, "x").df.collect()[0].value == 7
+
+
+def test_full_match_is_of_the_whole_text(spark):
+    df = spark.createDataFrame([("abc",), ("abc\n",), ("ab",), ("x\nabc",)], "s string")
+    assert [r[0] for r in df.select(scalar.full_match(F.col("s"), "abc|ab")).collect()] == [True, False, True, False]
+
+
+def test_schema_with_commas_of_its_own(spark, tmp_path):
+    (tmp_path / "x.bin").write_bytes(b"1")
+    from decimal import Decimal
+
+    out = files.from_url(spark, str(tmp_path / "x.bin"), lambda raw: [(Decimal("1.25"), {"a": 1, "b": "x"})], "d decimal(10,2), s struct<a:int,b:string>").collect()
+    assert out[0].d == Decimal("1.25") and out[0].s.b == "x"
+
+
+def test_equal_rows_are_dealt_over_tasks(spark):
+    df = spark.createDataFrame([(5,)] * 900 + [(i,) for i in range(100)], "x int").repartition(8)
+    out = Flow(df).sort_with(lambda a, b: (a.x > b.x) - (a.x < b.x)).df
+    assert [r.x for r in out.collect()] == sorted([5] * 900 + list(range(100)))
+    assert max(out.rdd.glom().map(len).collect()) < 500
+
+
+def test_grouped_reductions_make_no_lists(spark, sf_dir):
+    from millrace import queries
+
+    for name in ("reduce_values", "find_values_by_key", "find_by_key", "group_map_values"):
+        assert "collect_list" not in queries.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString(), name
+
+
+def test_stored_tables_are_released(spark):
+    import os
+
+    from millrace import tables
+
+    df = tables.stored(spark.range(10).toDF("x"), "test")
+    path = df.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    assert os.path.isdir(path) and df.count() == 10
+    assert tables.release(spark) >= 1 and not os.path.exists(path) and tables.release(spark) == 0
