@@ -219,9 +219,9 @@ def group_reduce_by_key(t):
     return t("orders").group_reduce_by_key(lambda r: scalar.head(r.o_orderpriority), "max", "o_totalprice")
 
 
-@query("SELECT l_shipdate AS k, round(sum(l_extendedprice * l_discount), 2) AS v FROM lineitem GROUP BY 1")
+@query("SELECT l_shipdate AS k, round(sum(l_extendedprice * l_discount), 4) AS v FROM lineitem GROUP BY 1")
 def group_map_reduce(t):
-    return rounded(t("lineitem").group_map_reduce("l_shipdate", lambda r: r.l_extendedprice * r.l_discount, "sum"), 2, "v")
+    return rounded(t("lineitem").group_map_reduce("l_shipdate", lambda r: r.l_extendedprice * r.l_discount, "sum"), 4, "v")
 
 
 @query("SELECT l_returnflag, round(sum(l_extendedprice), 2) AS revenue FROM lineitem WHERE l_quantity > 25 GROUP BY l_returnflag")
