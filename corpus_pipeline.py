@@ -8,16 +8,21 @@ join keep them, the join one of each id; mixing never takes them; packing makes
 its own, a null id a document like others. Repeated rows pass the first two stages alike, and the join keeps one of them; of rows that tie, the
 choice is by the other columns. Texts are read whole, whatever their length. An empty table gives an empty result.
 
+A stage's intermediate tables are deleted when the next stage begins; by then its result must have been written.
+
 Mixing puts the documents in the order of the curriculum, and packing keeps that order: its ``position`` tells the place of a piece's document, which
 also tells apart the copies of a document that is taken more than once.
 """
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm import jaccard_join, line_dedup, mixing, packing, quality
-from millrace.tables import stored, table
+from millrace.tables import release, stored, table, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,9 +50,26 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(packing.in_order(docs), place="place")
 
 
-STAGES = [("quality rules", quality_rules), ("line dedup", dedup_lines), ("n-gram Jaccard join", near_duplicates), ("mixing", mix), ("packing", pack)]
+_used: list[str] = []
+
+
+def _tidy(stage: Callable) -> Callable:
+    """A stage that first deletes the intermediate tables of the stage before it; those of the last one stay until the driver ends."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(spark, _used)
+        before = set(written())
+        out = stage(spark, docs, sf_dir)
+        _used[:] = [p for p in written() if p not in before] if stage is not pack else []
+        return out
+
+    return run
+
+
+STAGES = [(name, _tidy(stage)) for name, stage in (("quality rules", quality_rules), ("line dedup", dedup_lines), ("n-gram Jaccard join", near_duplicates), ("mixing", mix), ("packing", pack))]
 
-#: The stages hash lines, chunks and shingles and encode tokens, for which DuckDB has no functions; tests/llm has the brute-force version.
+#: Packing encodes tokens, for which DuckDB has no function; tests/llm has the brute-force version.
 ORACLE_SQL = None
 
 

@@ -48,10 +48,15 @@ def _file_system(spark: SparkSession, path: str):
     return spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def release(spark: SparkSession) -> int:
-    """Deletes the tables that ``stored`` has written so far; DataFrames that read them can't be used any more. How many there were."""
-    n = len(_written)
-    while _written:
-        path = _written.pop()
+def written() -> list[str]:
+    """Paths of the tables that ``stored`` has written and that are still there, in the order of writing."""
+    return list(_written)
+
+
+def release(spark: SparkSession, paths: list[str] | None = None) -> int:
+    """Deletes the tables at ``paths``, or all that ``stored`` has written so far; DataFrames that read them can't be used any more. How many there were."""
+    gone = [p for p in _written if paths is None or p in paths]
+    for path in gone:
+        _written.remove(path)
         _file_system(spark, path).delete(spark._jvm.org.apache.hadoop.fs.Path(path), True)
-    return n
+    return len(gone)
