@@ -37,7 +37,6 @@ LOOKS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b",
 NOISE = frozenset("*#%&~^.,-_'\"`:;/\\=<>)[]{}? ")
 #: what the channel takes for a look-alike read as a letter, for one dropped, for noise dropped, for a letter repeated, for one doubled
 COST_LOOK, COST_DROP, COST_NOISE, COST_RUN, COST_TWO = 0.7, 3.0, 0.3, 0.5, 1.0
-_SYMBOLS = 28  # boundary, a to z, any other letter
 COST_BREAK, COST_PAIR = 1.0, 3.0  # for a separator taken as a break between words; for a doubled letter read as one
 _SYMBOLS = 28  # boundary, a to z, any other letter
 _EDGE = re.compile(r"^[^\w@$!+|(€£¡]+|(?:[^\w@$+|(€£¡]|([@$+|(€£¡])\1+)+$")
