@@ -182,14 +182,16 @@ class Flow:
         """An order that only a Python function knows; rows leave the JVM for it.
 
         At most ``sample`` rows, whatever the table's size, are compared on the driver to choose ranges; rows are dealt to the ranges and
-        sorted there. Rows equal to several bounds are dealt over all the ranges between these.
+        sorted there. Rows equal to several bounds are dealt over all the ranges between these. Rows are counted, sampled and dealt, so
+        they are written once, to the shared folder.
         """
         from functools import cmp_to_key
 
-        rdd, key = self.df.rdd, cmp_to_key(compare)
+        df = stored(self.df, "unsorted")
+        rdd, key = df.rdd, cmp_to_key(compare)
         n = max(1, min(rdd.getNumPartitions(), sample // 20))
-        share = min(1.0, 1.2 * sample / max(1, self.df.count()))
-        picked = sorted(self.df.sample(False, share, 42).limit(sample).collect(), key=key)
+        share = min(1.0, 1.2 * sample / max(1, df.count()))
+        picked = sorted(df.sample(False, share, 42).limit(sample).collect(), key=key)
         bounds = [picked[len(picked) * i // n] for i in range(1, n)] if picked else []
 
         def first(row: Row, more: int) -> int:
@@ -234,9 +236,9 @@ class Flow:
             return self
         raise ValueError(f"no partitioner {kind!r}")
 
-    def with_parallelism(self, n: int) -> Flow:
-        """Fewer partitions without a shuffle, more with one."""
-        return self._of(self.df.coalesce(n) if n < self.df.rdd.getNumPartitions() else self.df.repartition(n))
+    def with_parallelism(self, n: int, shuffle: bool = True) -> Flow:
+        """n partitions by a shuffle or, without one, n at most, put together from those there are. Nothing runs to count these."""
+        return self._of(self.df.repartition(n) if shuffle else self.df.coalesce(n))
 
     # --- sets
 

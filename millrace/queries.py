@@ -831,8 +831,10 @@ def _descent_sql(factor: str, steps: int = 3, rate: float = 0.1) -> str:
 
 def _descended(t, gradient) -> DataFrame:
     df = labelled(t).cache()
-    w = iterate.descend(df, "x", "y", gradient, [0.0] * 64, 3, 0.1, mean=True)
-    df.unpersist()
+    try:
+        w = iterate.descend(df, "x", "y", gradient, [0.0] * 64, 3, 0.1, mean=True)
+    finally:
+        df.unpersist()
     return rounded(df.sparkSession.createDataFrame(list(enumerate(w)), "pos int, w double"), 6, "w")
 
 
@@ -860,8 +862,10 @@ def _kmeans_sql(centres: str, steps: int) -> str:
 
 def _clustered(t, centres: list[list[float]], steps: int) -> DataFrame:
     df = t("embeddings").df.select(F.col("embedding").cast("array<double>").alias("x")).cache()
-    found = iterate.kmeans(df, "x", centres, steps)
-    df.unpersist()
+    try:
+        found = iterate.kmeans(df, "x", centres, steps)
+    finally:
+        df.unpersist()
     return rounded(df.sparkSession.createDataFrame([(k, i, x) for k, c in enumerate(found) for i, x in enumerate(c)], "cluster int, pos int, x double"), 5, "x")
 
 

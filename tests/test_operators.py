@@ -95,7 +95,8 @@ def test_partitioners(spark):
         f.partition("other", 3)
     parts = f.partition("range", 4, "x").df.select("x", F.spark_partition_id().alias("p")).collect()
     assert [r.p for r in sorted(parts)] == sorted(r.p for r in parts)
-    assert f.with_parallelism(2).df.rdd.getNumPartitions() == 2
+    assert f.with_parallelism(2).df.rdd.getNumPartitions() == f.with_parallelism(2, shuffle=False).df.rdd.getNumPartitions() == 2
+    assert f.with_parallelism(7).df.rdd.getNumPartitions() == 7 and f.with_parallelism(7, shuffle=False).df.rdd.getNumPartitions() == 3
 
 
 def test_samples(spark):
