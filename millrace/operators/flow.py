@@ -307,7 +307,7 @@ class Flow:
         return _background.submit(self.cached)
 
     def traverse(self) -> Iterator[Row]:
-        """Rows one by one, a partition at a time."""
+        """Rows one by one, a partition at a time. All of them come to the driver: walk a large table with ``map_partitions`` and traverse what that gives."""
         return self.df.toLocalIterator(prefetchPartitions=True)
 
     def collect(self, timeout: float | None = None) -> list[Row]:

@@ -5,6 +5,7 @@ import threading
 
 import numpy as np
 import pytest
+from millrace import queries
 from millrace.functions import scalar
 from millrace.operators import iterate
 from millrace.operators.flow import Flow
@@ -129,6 +130,41 @@ def test_actions(spark):
     f.foreach(lambda r: None)
 
 
+def sent_to_driver(spark, run):
+    """What ``run`` gives, and the bytes of results that the tasks of its jobs sent."""
+    sc = spark.sparkContext._jsc.sc()
+    listed = lambda seq: [seq.apply(i) for i in range(seq.size())]
+
+    def jobs():
+        sc.listenerBus().waitUntilEmpty()
+        return {j.jobId(): set(listed(j.stageIds())) for j in listed(sc.statusStore().jobsList(None))}
+
+    before = jobs()
+    out = run()
+    stages = set().union(*[s for j, s in jobs().items() if j not in before])
+    return out, sum(sc.statusStore().lastStageAttempt(s).resultSize() for s in stages)
+
+
+def actions_over(spark, folder, orders):
+    orders.write.parquet(f"{folder}/orders.parquet")
+    spark.createDataFrame([(0,)], "r_regionkey long").write.parquet(f"{folder}/region.parquet")
+    rows, sent = sent_to_driver(spark, lambda: queries.QUERIES["actions"](spark, str(folder)).collect())
+    return [tuple(r) for r in rows], sent
+
+
+def test_actions_query_sends_a_total_for_each_partition(spark, tmp_path):
+    sent = {}
+    for n in (8_000, 800_000):
+        rows, sent[n] = actions_over(spark, tmp_path / str(n), spark.range(0, n, 1, 4).withColumnRenamed("id", "o_orderkey"))
+        assert rows == [(n, n * (n - 1) // 2, n)]
+    assert sent[800_000] < 2 * sent[8_000]  # rows would be 20 bytes each
+
+
+@pytest.mark.parametrize("keys, want", [([], (0, None, 0)), ([None], (1, None, 1)), ([2**60 + 1, None, -3], (3, 2**60 - 2, 3))])
+def test_actions_query_on_nulls_and_no_rows(spark, tmp_path, keys, want):
+    assert actions_over(spark, tmp_path, spark.createDataFrame([(k,) for k in keys], "o_orderkey long"))[0] == [want]
+
+
 def test_cogroup_apply(spark):
     import pandas as pd
 
